@@ -152,28 +152,11 @@ def unpack(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "prefix").mapInArrow(rows, "token long, rep long")
 
 
-# ---- prefix trees ---------------------------------------------------------------------------------------------------
-
-
-class Forest:
-    """Disjoint sets over 0 to n - 1."""
+#: Branches with so few shingles left, or at such a depth, are not divided further.
+SMALL, DEEP = 16_384, 20
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+# ---- prefix trees ---------------------------------------------------------------------------------------------------
 
 
 class PrefixTree:
@@ -226,89 +209,93 @@ class PrefixTree:
             # A path that is a whole beginning of the next stays open as a leaf of length 0.
         for high, first, below in stack[:0:-1]:
             roots.append(node(0, high, first, n, below))
-        self.roots = roots + stack[0][2]
-        shortest, longest = [0] * len(self.low), [0] * len(self.low)
-        sizes = self.sizes
-        for x in range(len(self.low)):
-            part = sizes[self.first[x] : self.last[x]]
-            shortest[x], longest[x] = int(part.min()), int(part.max())
-        self.shortest, self.longest = shortest, longest
-
-    def link(self, num: int, den: int, forest: Forest, probes=None, partner=None) -> list[tuple[int, int]]:
+        roots += stack[0][2]
+        # Small or deep branches burst: below such a node, each set is a leaf with the rest of its path.
+        # Elsewhere a set that ends where others go on is a leaf with an empty run.
+        sums = np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+        level, depth = list(roots), 0
+        while level:
+            below_all: list[int] = []
+            for x in level:
+                first, last, high = self.first[x], self.last[x], self.high[x]
+                if not self.children[x]:
+                    continue
+                if depth >= DEEP or sums[last] - sums[first] - (last - first) * high <= SMALL:
+                    self.children[x] = [node(high, len(self.paths[i]), i, i + 1, []) for i in range(first, last)]
+                    continue
+                if len(self.paths[first]) == high:
+                    self.children[x].insert(0, node(high, high, first, first + 1, []))
+                below_all += self.children[x]
+            level, depth = below_all, depth + 1
+        self.roots = np.array(sorted(roots), np.int64)
+        runs = [self.paths[f][lo:hi] for f, lo, hi in zip(self.first, self.low, self.high, strict=True)]
+        self.run_at = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+        self.runs = np.concatenate(runs)
+        self.end = np.array([r[-1] if len(r) else -1 for r in runs])  # the run's rarest shingle
+        self.child_at = np.concatenate([[0], np.cumsum([len(c) for c in self.children])])
+        self.child = np.array([x for c in self.children for x in c], np.int64)
+        self.high, self.first, self.last = np.array(self.high), np.array(self.first), np.array(self.last)
+        self.leaf = np.diff(self.child_at) == 0
+        self.shortest = np.array([self.sizes[a:b].min() for a, b in zip(self.first, self.last, strict=True)])
+        self.longest = np.array([self.sizes[a:b].max() for a, b in zip(self.first, self.last, strict=True)])
+
+    def link(self, num: int, den: int, probes=None) -> list[tuple[int, int]]:
         """Links, as positions in the list of sets, enough to connect all that are linked.
 
-        probes: only these sets walk the tree (else all); partner(i): sets not to be compared with others of which it is true.
+        A set walks the tree level by level, all branches of a level at once,
+        each with the overlap so far. Branches are left whose remaining shingles
+        can't make up the overlap needed, or whose sets all are in the walker's
+        component. With probes, only those sets walk, and meet all others.
         """
-        found, seen = [], np.zeros(self.vocabulary, bool)
-        mask, order, paths, sizes = seen, self.order, self.paths, self.sizes
-        one = [last - first == 1 for first, last in zip(self.first, self.last, strict=True)]
-        walking = range(len(paths)) if probes is None else [p for p in range(len(paths)) if probes[order[p]]]
-        for p in walking:
-            path, me, n = paths[p], order[p], int(sizes[p])
-            mask[path] = True
-            stack = [(x, 0, 0) for x in self.roots]
-            while stack:
-                x, overlap, passed = stack.pop()
-                first, last = self.first[x], self.last[x]
-                if probes is None and first >= p:
-                    continue  # those walk later and meet this one then
-                root = forest.find(me)
-                if one[x]:
-                    if first == p or forest.find(order[first]) == root:
-                        continue
-                    rest = paths[first][self.low[x] :]
-                    overlap += int(np.count_nonzero(mask[rest]))
-                    m = int(sizes[first])
-                    if overlap >= needed(n, m, num, den):
-                        forest.union(me, order[first])
-                        found.append((me, order[first]))
-                    continue
-                if self._whole(x, forest) == root:
-                    continue
-                run = paths[first][self.low[x] : self.high[x]]
-                overlap += int(np.count_nonzero(mask[run]))
+        n_sets = len(self.paths)
+        label = np.arange(n_sets)
+        changes = np.arange(n_sets)  # differences of neighbours' components, summed: even over a branch of one component
+        seen, found = np.zeros(self.vocabulary, bool), []
+        least = lambda n, m: -((-num * (n + m)) // (num + den))
+        for p in range(n_sets):
+            if probes is not None and not probes[self.order[p]]:
+                continue
+            path, n = self.paths[p], int(self.sizes[p])
+            seen[path] = True
+            at, overlap, mine = self.roots, np.zeros(len(self.roots), np.int64), np.full(len(self.roots), n)
+            while len(at):
+                first = self.first[at]
+                stay = ~((changes[self.last[at] - 1] == changes[first]) & (label[first] == label[p]))
+                if probes is None:
+                    stay &= first < p  # later sets walk later, and meet this one then
+                at, overlap, mine = at[stay], overlap[stay], mine[stay]
+                if not len(at):
+                    break
+                sizes = self.run_at[at + 1] - self.run_at[at]
+                ends = np.cumsum(sizes)
+                hits = seen[self.runs[np.arange(ends[-1]) + np.repeat(self.run_at[at] - (ends - sizes), sizes)]]
+                sums = np.concatenate([[0], np.cumsum(hits)])
+                overlap = overlap + sums[ends] - sums[ends - sizes]
+                leaf = self.leaf[at]
+                if leaf.any():
+                    other = self.first[at[leaf]]
+                    for q in other[overlap[leaf] >= least(n, self.sizes[other])].tolist():
+                        if label[q] != label[p]:
+                            found.append((self.order[p], self.order[q]))
+                            label[label == label[q]] = label[p]
+                            changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
                 # What remains: mine beyond the run, theirs below it.
-                mine = n - int(np.searchsorted(path, run[-1], "right")) if len(run) else n - passed
-                theirs = self.longest[x] - self.high[x]
-                if overlap + min(mine, theirs) < needed(n, self.shortest[x], num, den):
-                    continue
-                ended = first
-                while ended < last and sizes[ended] == self.high[x]:  # paths that end here
-                    if ended != p and forest.find(order[ended]) != forest.find(me) and overlap >= needed(n, int(sizes[ended]), num, den):
-                        forest.union(me, order[ended])
-                        found.append((me, order[ended]))
-                    ended += 1
-                stack.extend((c, overlap, n - mine) for c in self.children[x])
-            mask[path] = False
+                mine = np.where(sizes > 0, n - np.searchsorted(path, self.end[at], "right"), mine)
+                go = ~leaf & (overlap + np.minimum(mine, self.longest[at] - self.high[at]) >= least(n, self.shortest[at]))
+                at, overlap, mine = at[go], overlap[go], mine[go]
+                count = self.child_at[at + 1] - self.child_at[at]
+                ends = np.cumsum(count)
+                below = self.child[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.child_at[at] - (ends - count), count)]
+                at, overlap, mine = below, np.repeat(overlap, count), np.repeat(mine, count)
+            seen[path] = False
         return found
 
-    def _whole(self, x: int, forest: Forest) -> int:
-        """The one component of all sets below a node, or -1. Once whole, a node stays so."""
-        if not hasattr(self, "whole"):
-            self.whole = [False] * len(self.low)
-        root = forest.find(self.order[self.first[x]])
-        if self.whole[x]:
-            return root
-        for c in self.children[x]:
-            if self.last[c] - self.first[c] == 1 or self.whole[c]:
-                if forest.find(self.order[self.first[c]]) != root:
-                    return -1
-            else:
-                return -1
-        ended = self.first[x]
-        while ended < self.last[x] and self.sizes[ended] == self.high[x]:
-            if forest.find(self.order[ended]) != root:
-                return -1
-            ended += 1
-        self.whole[x] = True
-        return root
-
 
 def link_sets(ids: list[int], sets: list[np.ndarray], num: int, den: int, probes=None) -> list[tuple[int, int]]:
     """Links between ids, enough to connect all that are linked; with probes, those that a probe has."""
     if len(sets) < 2:
         return []
-    found = PrefixTree(sets).link(num, den, Forest(len(sets)), probes)
+    found = PrefixTree(sets).link(num, den, probes)
     return [(ids[a], ids[b]) for a, b in found]
 
 
