@@ -6,12 +6,15 @@ similarity reaches the threshold, a fraction of whole numbers; the comparison
 is exact on the sets. Result: one row per document with its set's size, its
 class (the smallest id with the same set) and its component over all links.
 
-1. One scan counts shingles in a sketch of 2**SKETCH_BITS counters, summed over
-   all documents. (count, hash) is the global order, rare shingles first; the
-   sketch makes hot shingles late, it decides nothing.
-2. Another scan writes for each document its size, a 128-bit digest of its set
-   and its prefix, the rarest n - ceil(t*n) + 1 shingles. Linked sets share a
-   shingle of both prefixes. Equal sets form a class of which one goes on.
+1. A scan sends all shingles, packed, to where equal ones meet, and gets back for
+   each document how many of its shingles another document has. A document with
+   fewer than t*n of them can't link; the others' texts, one of each class of
+   equal sets, go on. A shingle that several documents of a scan's slice share
+   is sent once, so one in a third of all documents costs an entry a slice.
+2. Those texts' shingles are counted in a sketch of 2**SKETCH_BITS counters, and
+   (count, hash) is the global order, rare shingles first; the sketch decides
+   nothing else. Linked sets share a shingle of both prefixes, the rarest
+   n - ceil(t*n) + 1 shingles.
 3. Classes that share a prefix shingle are joined to the smallest of them, and
    those edges' components are the candidate groups: no link leaves a group.
 4. Each group's sets are stored in a prefix tree, frequent shingles first, so
@@ -41,13 +44,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import LOWER, WORDS, Hasher, mix, shingles, slices, tokens, utf8
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import materialize, release
+from tidemark.llm.shared import blob_partitions, materialize, release
 
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 #: Shingles of a group that one task takes on at once; about 64 MB with its tree.
 GROUP_SHINGLES = 4_000_000
-#: Bits of the map of candidate ids that thins the scan for their sets; fixed, so it may be broadcast.
+#: Bits of the map of candidates that thins the scan for their texts; fixed, so it may be broadcast.
 FILTER_BITS = 23
+#: Bytes of text whose shingles meet in one task.
+MEET = 24 << 20
+_KNOWN = 0xFFFF
 
 
 # ---- sets -----------------------------------------------------------------------------------------------------------
@@ -110,46 +116,121 @@ def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.concatenate([parts[i] for i in range(SKETCH_BLOCKS)]) if parts else np.zeros(1 << SKETCH_BITS, np.int32)
 
 
-def describe(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
-    """id, n, d1, d2 (the set's digest), prefix (packed shingles) of each document."""
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """id, uid, n, d1, d2 (the set's digest) of each document (id, uid, text)."""
 
     def scan(batches):
         for batch in batches:
-            counts = sketch.value
-            n, d1, d2, prefix = [], [], [], []
-            for s in sets_of(batch.column(1), k):
+            n, d1, d2 = [], [], []
+            for s in sets_of(batch.column(2), k):
                 n.append(len(s))
-                if not len(s):
-                    d1.append(0), d2.append(0), prefix.append(b"")
-                    continue
-                size = prefix_size(len(s), num, den)
-                c = counts[_slots(s)]
-                if size < len(s):
-                    near = np.argpartition(c, size - 1)[:size]
-                    most = c[near].max()
-                    below, level = np.flatnonzero(c < most), np.flatnonzero(c == most)
-                    near = np.concatenate([below, level[: size - len(below)]])  # s ascends, so ties go by hash
-                else:
-                    near = np.arange(len(s))
-                prefix.append(s[near].tobytes())
                 d1.append(int(s.sum(dtype=np.uint64)) + len(s) & (1 << 64) - 1)
                 d2.append(int(mix(s.copy()).sum(dtype=np.uint64)))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(d1), signed(d2), pa.array(prefix, pa.binary())], names=["id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), signed(d1), signed(d2)], names=["id", "uid", "n", "d1", "d2"])
+
+    return docs.select("id", "uid", "text").mapInArrow(scan, "id long, uid long, n long, d1 long, d2 long")
+
+
+def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(uid, shared): how many shingles of a document (uid, text) occur in another."""
+
+    def scan(batches):
+        for batch in batches:
+            uids, held, size, first = batch.column(0).to_numpy(), [], 0, 0
+            for i, s in enumerate(sets_of(batch.column(1), k)):
+                held.append(s)
+                size += len(s)
+                if size > 1 << 19 or len(held) == _KNOWN or i + 1 == batch.num_rows:
+                    if size:
+                        yield pack(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), uids[first : i + 1])
+                    held, size, first = [], 0, i + 1
+
+    def pack(s: np.ndarray, doc: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        sig = (((s >> np.uint64(34)) % np.uint64(buckets)) << np.uint64(32) | s & np.uint64(0xFFFFFFFF)).view(np.int64)
+        order = np.argsort(sig, kind="stable")
+        sig, doc = sig[order], doc[order]
+        first = np.append(True, sig[1:] != sig[:-1])
+        alone = first & np.append(first[1:], True)
+        # What several documents of the slice have is shared for them, and stands once for those elsewhere.
+        here, many = np.unique(doc[~alone], return_counts=True)
+        out = {"bucket": [-1], "keys": [many.astype("<i8").tobytes()], "which": [b""], "uids": [own[here].tobytes()]}
+        sig, doc = sig[first], np.where(alone, doc, _KNOWN)[first]
+        at = np.searchsorted(sig >> 32, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            out["bucket"].append(b)
+            out["keys"].append((sig[at[b] : at[b + 1]] & 0xFFFFFFFF).astype("<u4").tobytes())
+            out["which"].append(doc[at[b] : at[b + 1]].astype("<u2").tobytes())
+            out["uids"].append(own.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("keys", "which", "uids")]], names=list(out))
+
+    def counts(uids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(n.astype(np.int64))], names=["uid", "shared"])
+
+    def meet(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = -1
+
+        def told():
+            keys, who = np.concatenate([k for k, _ in held]), np.concatenate([u for _, u in held])
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            same = keys[1:] == keys[:-1]
+            shared = (np.append(same, False) | np.append(False, same)) & (who != 0)
+            return counts(*np.unique(who[shared], return_counts=True))
+
+        for batch in batches:
+            for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                own = np.frombuffer(uids, np.int64)
+                if bucket < 0:
+                    yield counts(own, np.frombuffer(keys, np.int64))
+                    continue
+                if bucket != at and held:
+                    yield told()
+                    held = []
+                at, index = bucket, np.frombuffer(which, "<u2")
+                # uid 0 stands twice for a shingle that a slice knows to be shared: its documents have counted it.
+                keys, known = np.frombuffer(keys, "<u4"), index == _KNOWN
+                held.append((np.append(keys, keys[known]), np.append(np.append(own, 0)[np.where(known, len(own), index)], np.zeros(int(known.sum()), np.int64))))
+        if held:
+            yield told()
 
-    return docs.mapInArrow(scan, "id long, n long, d1 long, d2 long, prefix binary")
+    packed = docs.select("uid", "text").mapInArrow(scan, "bucket int, keys binary, which binary, uids binary")
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("uids")).otherwise(F.col("bucket").cast("long"))
+    met = packed.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(meet, "uid long, shared long")
+    return met.groupBy("uid").agg(F.sum("shared").alias("shared"))
 
 
-def unpack(reps: DataFrame) -> DataFrame:
-    """(token, rep): a row for each prefix shingle."""
+def prefixes_of(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
+    """(token, rep): a row for each prefix shingle of each document (id, text)."""
 
-    def rows(batches):
+    def scan(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids = np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64) if len(data) else np.zeros(0, np.int64)), pa.array(ids)], names=["token", "rep"])
+            counts, ids, out = sketch.value, batch.column(0).to_pylist(), []
+            for s in sets_of(batch.column(1), k):
+                size = prefix_size(len(s), num, den)
+                # (count, hash) in order: s ascends, so a stable sort by count will do.
+                out.append(s[np.argsort(counts[_slots(s)], kind="stable")[:size]] if len(s) else s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids, [len(o) for o in out]), pa.int64())], names=["token", "rep"])
+
+    return docs.select("id", "text").mapInArrow(scan, "token long, rep long")
+
+
+def thinned(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df that may be in keys, by a bit map of fixed size: it spares the join after it most rows, or at worst none."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    words = keys.select(slot(F.col(key)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS INT)))").alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in words.toLocalIterator():  # at most 2**FILTER_BITS bits
+        table[batch.w] = batch.bits
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
-    return reps.select("rep", "prefix").mapInArrow(rows, "token long, rep long")
+    @F.arrow_udf("boolean")
+    def may(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return df.where(may(slot(F.col(key))))
 
 
 #: Branches with so few shingles left, or at such a depth, are not divided further.
@@ -302,26 +383,21 @@ def link_sets(ids: list[int], sets: list[np.ndarray], num: int, den: int, probes
 # ---- on Spark -------------------------------------------------------------------------------------------------------
 
 
-def fetch_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """members with `s`, the packed set of each rep; texts that can't be members' are left out before the join."""
-    spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = members.select(slot(F.col("rep")).alias("b")).groupBy((F.col("b") / 512).cast("long").alias("w")).agg(F.collect_set((F.col("b") % 512).cast("int")).alias("bs")).toLocalIterator()
-    table = np.zeros(1 << FILTER_BITS, bool)
-    for r in bits:  # at most 2**FILTER_BITS bits
-        table[r.w * 512 + np.array(r.bs)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(table))
+def with_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """members with `s`, the packed set of each rep; texts are (id, text)."""
+    return members.join(texts, F.col("rep") == F.col("id")).select(*members.columns, "text").transform(lambda df: _map_text(df, k))
+
+
+def _map_text(df: DataFrame, k: int) -> DataFrame:
+    """Replace the last column, a text, by its packed set `s`."""
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes[:-1]) + ", s binary"
 
     def scan(batches):
-        flags = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(flags[batch.column(2).to_numpy()]))
-            if batch.num_rows:
-                packed = pa.array([s.tobytes() for s in sets_of(batch.column(1), k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "s"])
+            packed = pa.array([s.tobytes() for s in sets_of(batch.column(batch.num_columns - 1), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "s"])
 
-    sets = docs.where("id is not null").select("id", "text", slot(F.col("id")).alias("b")).mapInArrow(scan, "id long, s binary")
-    return members.join(sets, F.col("rep") == F.col("id")).drop("id")
+    return df.mapInArrow(scan, schema)
 
 
 def _groups(batches, names: list[str]):
@@ -356,7 +432,8 @@ def links_within(grouped: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def links_of_hot(members: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """(src, dst) links of groups that are too large for a task: rows (comp, rep, n, s, total)."""
+    """(src, dst) links of groups that are too large for a task: rows (comp, rep, n, total, s)."""
+    members = materialize(members, "jaccard-candidates")
     pivots = members.groupBy("comp").agg(F.min(F.struct("rep", "s")).alias("p")).select(F.col("comp").alias("c"), F.col("p.rep").alias("pivot"), F.col("p.s").alias("ps"))
     paired = members.join(pivots, F.col("comp") == F.col("c")).select("comp", "rep", "n", "s", "total", "pivot", "ps")
 
@@ -394,29 +471,38 @@ def links_of_hot(members: DataFrame, num: int, den: int, limit: int) -> DataFram
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = spark.sparkContext.broadcast(count_shingles(docs, k))
-    table = materialize(describe(docs, k, num, den, sketch), "jaccard-sets")
-    classes = table.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "prefix")).alias("m")).select("d1", "d2", "n", F.col("m.id").alias("rep"), F.col("m.prefix").alias("prefix"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("uid", F.xxhash64("id", "text"))
+    table = materialize(describe(docs, k), "jaccard-sets")
+    classes = table.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "uid")).alias("m")).select("d1", "d2", "n", F.col("m.id").alias("rep"), F.col("m.uid").alias("uid"))
     classes = materialize(classes, "jaccard-classes")
 
+    # What can link at all.
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    counts = count_shared(docs.where("id is not null"), k, blob_partitions(docs, total, MEET))
+    able = classes.join(counts, "uid").where(F.col("shared") * den >= F.col("n") * num).select("rep", "uid", "n")
+    able = materialize(able, "jaccard-able")
+    release(spark)
+    few = thinned(docs, able, "uid").join(able.select(F.col("uid").alias("u")), F.col("uid") == F.col("u"), "left_semi")
+    texts = materialize(few.select("id", "uid", "text").dropDuplicates(["uid"]).select("id", "text"), "jaccard-texts")
+
     # Candidate groups.
-    prefixes = unpack(classes)
+    sketch = spark.sparkContext.broadcast(count_shingles(texts, k))
+    prefixes = prefixes_of(texts, k, num, den, sketch)
     hubs = prefixes.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most").select(F.col("token").alias("t"), "hub")
     stars = prefixes.join(hubs, F.col("token") == F.col("t")).where("rep != hub").select(F.col("hub").alias("src"), F.col("rep").alias("dst"))
     groups = connected_components(stars).withColumnRenamed("component", "comp")
-    members = materialize(groups.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), F.col("node") == F.col("rep")).select("comp", "rep", "n"), "jaccard-members")
+    members = materialize(groups.join(able.groupBy("rep").agg(F.sum("n").alias("n")), F.col("node") == F.col("rep")).select("comp", "rep", "n"), "jaccard-members")
     release(spark)
 
     # Their links.
-    totals = members.groupBy("comp").agg(F.sum("n").alias("total"))
+    totals = members.groupBy("comp").agg(F.sum("n").alias("total")).withColumnRenamed("comp", "tc")
     hot = totals.where(F.col("total") > group_shingles)
-    sized = fetch_sets(docs, members, k)
     if hot.isEmpty():
-        links = links_within(sized, num, den)
+        links = links_within(with_sets(members, texts, k), num, den)
     else:
-        sized = materialize(sized.join(totals.withColumnRenamed("comp", "tc"), F.col("comp") == F.col("tc")).drop("tc"), "jaccard-candidates")
-        links = links_within(sized.where(F.col("total") <= group_shingles), num, den).unionByName(links_of_hot(sized.where(F.col("total") > group_shingles), num, den, group_shingles))
+        placed = materialize(members.join(totals, F.col("comp") == F.col("tc")).drop("tc"), "jaccard-placed")
+        links = links_within(with_sets(placed.where(F.col("total") <= group_shingles), texts, k), num, den).unionByName(links_of_hot(with_sets(placed.where(F.col("total") > group_shingles), texts, k), num, den, group_shingles))
     found = connected_components(links)
     release(spark)
 
