@@ -1,3 +1,5 @@
 """All queries of the library by name, and their SQL."""
 
-QUERIES, ORACLES = {}, {}
+from tidemark.plans import catalog
+
+QUERIES, ORACLES = dict(catalog.QUERIES), dict(catalog.ORACLES)
