@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import LOWER, WORDS, Hasher, mix, shingles, slices, tokens, utf8
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import blob_partitions, materialize, release
+from tidemark.llm.shared import materialize, release
 
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 #: Shingles of a group that one task takes on at once; about 64 MB with its tree.
@@ -52,7 +52,7 @@ GROUP_SHINGLES = 4_000_000
 #: Bits of the map of candidates that thins the scan for their texts; fixed, so it may be broadcast.
 FILTER_BITS = 23
 #: Bytes of text whose shingles meet in one task.
-MEET = 24 << 20
+MEET = 40 << 20
 _KNOWN = 0xFFFF
 
 
@@ -164,8 +164,14 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             out["uids"].append(own.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("keys", "which", "uids")]], names=list(out))
 
-    def counts(uids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(n.astype(np.int64))], names=["uid", "shared"])
+    def packed_counts(uids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Counts, packed by where each uid's are added up."""
+        to = uids % buckets
+        order = np.argsort(to, kind="stable")
+        uids, n, at = uids[order], n[order], np.searchsorted(to[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(at)).tolist()
+        pack = lambda x, t: pa.array([x[at[i] : at[i + 1]].astype(t).tobytes() for i in some], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pack(uids, "<i8"), pack(n, "<u4")], names=["to", "uids", "n"])
 
     def meet(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -177,13 +183,13 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             keys, who = keys[order], who[order]
             same = keys[1:] == keys[:-1]
             shared = (np.append(same, False) | np.append(False, same)) & (who != 0)
-            return counts(*np.unique(who[shared], return_counts=True))
+            return packed_counts(*np.unique(who[shared], return_counts=True))
 
         for batch in batches:
             for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 own = np.frombuffer(uids, np.int64)
                 if bucket < 0:
-                    yield counts(own, np.frombuffer(keys, np.int64))
+                    yield packed_counts(own, np.frombuffer(keys, np.int64))
                     continue
                 if bucket != at and held:
                     yield told()
@@ -195,10 +201,18 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         if held:
             yield told()
 
+    def add(batches):
+        uids, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:  # compacted batch by batch, so only a partition's documents are held
+            more = [np.frombuffer(b"".join(batch.column(i).to_pylist()), t) for i, t in ((1, "<i8"), (2, "<u4"))]
+            uids, which = np.unique(np.append(uids, more[0]), return_inverse=True)
+            n = np.bincount(which, weights=np.append(n, more[1]), minlength=len(uids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(n)], names=["uid", "shared"])
+
     packed = docs.select("uid", "text").mapInArrow(scan, "bucket int, keys binary, which binary, uids binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("uids")).otherwise(F.col("bucket").cast("long"))
-    met = packed.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(meet, "uid long, shared long")
-    return met.groupBy("uid").agg(F.sum("shared").alias("shared"))
+    met = packed.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(meet, "to int, uids binary, n binary")
+    return met.repartition(buckets, "to").mapInArrow(add, "uid long, shared long")
 
 
 def prefixes_of(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
@@ -479,7 +493,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # What can link at all.
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    counts = count_shared(docs.where("id is not null"), k, blob_partitions(docs, total, MEET))
+    counts = count_shared(docs.where("id is not null"), k, max(1, -(-total // MEET)))
     able = classes.join(counts, "uid").where(F.col("shared") * den >= F.col("n") * num).select("rep", "uid", "n")
     able = materialize(able, "jaccard-able")
     release(spark)
