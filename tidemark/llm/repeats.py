@@ -285,29 +285,29 @@ class RunLengthIndex:
 
 
 def owners_of_windows(distinct: DataFrame) -> DataFrame:
-    """(sig, seg, owners): the smallest id for each window of distinct segments (sig, seg, id)."""
+    """(sig, h, owners): the smallest id for each window of distinct segments (sig, h, seg, id)."""
 
     def run(batches):
-        sig, held, size, last = [], [], 0, None
+        keys, held, size, last = [], [], 0, None
 
         def told():
             strings, owners = [s for s, _ in held], np.array([o for _, o in held])
             found = RunLengthIndex(strings, owners).stream(strings)
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(strings, pa.binary()), pa.array([f[: len(s) - LENGTH + 1].tobytes() for f, s in zip(found, strings, strict=True)], pa.binary())], names=["sig", "seg", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([f[: len(s) - LENGTH + 1].tobytes() for f, s in zip(found, strings, strict=True)], pa.binary())], names=["sig", "h", "owners"])
 
         for batch in batches:
-            for s, seg, owner in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for s, h, seg, owner in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if s != last and size >= BIN:
                     yield told()
-                    sig, held, size = [], [], 0
+                    keys, held, size = [], [], 0
                 last = s
-                sig.append(s)
+                keys.append((s, h))
                 held.append((seg, owner))
                 size += len(seg)
         if held:
             yield told()
 
-    return distinct.select("sig", "seg", "id").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, seg binary, owners binary")
+    return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, h long, owners binary")
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -354,14 +354,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     found = shared.withColumnRenamed("uid", "u").join(long, F.col("u") == F.col("uid")).select("uid", "id", "text", "sigs")
-    sent = materialize(found.mapInArrow(send, "sig long, uid long, id long, start long, seg binary"), "repeat-segments")
-    distinct = materialize(sent.groupBy("sig", "seg").agg(F.min("id").alias("id")), "repeat-distinct")
+    # Bytes of a segment are moved once, after equal ones are one on the map side; its occurrences go by a second hash.
+    sent = materialize(found.mapInArrow(send, "sig long, uid long, id long, start long, seg binary").withColumn("h", F.xxhash64("seg")), "repeat-segments")
+    distinct = materialize(sent.groupBy("sig", "h").agg(F.min("id").alias("id"), F.first("seg").alias("seg")), "repeat-distinct")
     release(docs.sparkSession)
 
     hot = distinct.groupBy("sig").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > bin_bytes).select(F.col("sig").alias("hot"))
     hot = materialize(hot, "repeat-hot")
     cool = distinct.join(hot, F.col("sig") == F.col("hot"), "left_anti")
-    owners = owners_of_windows(cool).select(F.col("sig").alias("os"), F.col("seg").alias("og"), "owners")
+    owners = owners_of_windows(cool).select(F.col("sig").alias("os"), F.col("h").alias("og"), "owners")
 
     def mark(batches):
         for batch in batches:
@@ -374,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["uid", "spans"])
 
     spans_type = "array<struct<from: long, to: long>>"
-    marks = sent.join(owners, (F.col("sig") == F.col("os")) & (F.col("seg") == F.col("og"))).select("uid", "id", "start", "owners").mapInArrow(mark, f"uid long, spans {spans_type}")
+    marks = sent.select("sig", "h", "uid", "id", "start").join(owners, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).select("uid", "id", "start", "owners").mapInArrow(mark, f"uid long, spans {spans_type}")
     # Hashes with very many distinct segments: each window on its own.
     begin = F.explode(F.sequence(F.lit(1), F.length("seg") - (LENGTH - 1))).alias("b")
     windows = sent.join(hot, F.col("sig") == F.col("hot")).select("uid", "id", "start", "seg", begin).select("uid", "id", (F.col("start") + F.col("b") - 1).alias("at"), F.expr(f"substring(seg, b, {LENGTH})").alias("w"))
