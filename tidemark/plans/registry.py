@@ -1,5 +1,8 @@
 """All queries of the library by name, and their SQL."""
 
+from tidemark.operators import ml, text_queries
 from tidemark.plans import catalog
+from tidemark.streaming import weekly
 
-QUERIES, ORACLES = dict(catalog.QUERIES), dict(catalog.ORACLES)
+QUERIES = {**catalog.QUERIES, **text_queries.QUERIES, **ml.QUERIES, **weekly.QUERIES}
+ORACLES = {**catalog.ORACLES, **text_queries.ORACLES, **weekly.ORACLES}
