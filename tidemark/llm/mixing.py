@@ -106,7 +106,7 @@ def mix(docs: DataFrame, budget: int | str | None = None, max_repetition: float
     along = Window.partitionBy("source").orderBy("order")
     sized = sized.withColumn("end", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     cut = sized.join(small(plan), F.col("source").eqNullSafe(F.col("src"))).where("end > rest")
-    cut = cut.groupBy("source").agg(F.min_by(F.struct("order", (F.col("rest") - F.col("end") + F.col("n")).alias("room")), "end").alias("c"))
+    cut = cut.groupBy("source").agg(F.min_by(F.struct("order", (F.col("rest") - F.col("end") + F.col("n")).alias("room")), F.struct("end", "order")).alias("c"))
     cut = cut.select(F.col("source").alias("cut_source"), "c.order", "c.room").withColumnRenamed("order", "cut_order")
     cut = spark.createDataFrame(cut.collect(), cut.schema)  # a row for each source
     # Of that block, the documents in permuted order that fit; equal hashes go together.
