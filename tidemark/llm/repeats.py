@@ -20,8 +20,9 @@ whose hash two documents share are looked at further:
    with them the smallest id that has the string.
 5. Marked windows go back to their documents.
 
-Hashes that gather more than BIN bytes of distinct segments are compared window
-by window in the engine instead, which needs no memory per hash.
+A hash with one distinct segment has nothing to compare: its smallest id has all
+of its windows. Hashes that gather more than HOT bytes of distinct segments are
+compared window by window in the engine instead, which needs no memory per hash.
 
 Defined results: null text is empty; texts under LENGTH bytes lose nothing; rows
 of one id count as one document, so they don't remove each other's bytes unless
@@ -40,11 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import Hasher, slices, utf8
-from tidemark.llm.shared import blob_partitions, materialize, release
+from tidemark.llm.shared import blob_partitions, discard, materialize, release
 
 LENGTH, GRAM = 50, 20
-#: Bytes of distinct segments that one index takes.
-BIN = 1 << 20
+#: Bytes of distinct segments after which an index is full, and beyond which a hash's are too many for one.
+BIN, HOT = 1 << 18, 1 << 20
 #: Bytes of text whose hashes meet in one task.
 MEET = 32 << 20
 _KNOWN = 0xFFFF
@@ -208,7 +209,7 @@ class RunLengthIndex:
         for i in range(1, size):
             key = key * radix + padded[i : n + i]
         while True:
-            suffixes = np.argsort(key, kind="stable")
+            suffixes = np.argsort(key)  # equal keys get equal ranks, in any order
             ordered = key[suffixes]
             rank = np.empty(n, np.int64)
             rank[suffixes] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
@@ -285,29 +286,44 @@ class RunLengthIndex:
 
 
 def owners_of_windows(distinct: DataFrame) -> DataFrame:
-    """(sig, h, owners): the smallest id for each window of distinct segments (sig, h, seg, id)."""
+    """(sig, h, owner, owners) of distinct segments (sig, h, seg, id): the smallest id that has all windows, or else of each window."""
+
+    def batch(sigs, hs, owner, owners):
+        return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(hs, pa.int64()), pa.array(owner, pa.int64()), pa.array(owners, pa.binary())], names=["sig", "h", "owner", "owners"])
 
     def run(batches):
-        keys, held, size, last = [], [], 0, None
+        alone, held, size, group = [], [], 0, []
 
         def told():
-            strings, owners = [s for s, _ in held], np.array([o for _, o in held])
-            found = RunLengthIndex(strings, owners).stream(strings)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([f[: len(s) - LENGTH + 1].tobytes() for f, s in zip(found, strings, strict=True)], pa.binary())], names=["sig", "h", "owners"])
-
-        for batch in batches:
-            for s, h, seg, owner in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if s != last and size >= BIN:
+            strings, owners = [r[2] for r in held], np.array([r[3] for r in held])
+            found = [f[: len(s) - LENGTH + 1] for f, s in zip(RunLengthIndex(strings, owners).stream(strings), strings, strict=True)]
+            same = [bool((f == f[0]).all()) for f in found]
+            return batch([r[0] for r in held], [r[1] for r in held], [int(f[0]) if e else None for f, e in zip(found, same, strict=True)], [None if e else f.tobytes() for f, e in zip(found, same, strict=True)])
+
+        for part in batches:
+            for row in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
+                if group and row[0] != group[0][0]:
+                    if len(group) == 1:
+                        alone += group
+                    else:
+                        held += group
+                        size += sum(len(r[2]) for r in group)
+                    group = []
+                group.append(row)
+                if size >= BIN:
                     yield told()
-                    keys, held, size = [], [], 0
-                last = s
-                keys.append((s, h))
-                held.append((seg, owner))
-                size += len(seg)
+                    held, size = [], 0
+            if alone:
+                yield batch([r[0] for r in alone], [r[1] for r in alone], [r[3] for r in alone], [None] * len(alone))
+                alone = []
+        if len(group) == 1:
+            yield batch([group[0][0]], [group[0][1]], [group[0][3]], [None])
+        else:
+            held += group
         if held:
             yield told()
 
-    return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, h long, owners binary")
+    return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, h long, owner long, owners binary")
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -317,7 +333,7 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + LENGTH).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = BIN) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (from, to) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     told = rows.withColumn("sha", F.sha2("text", 256))
@@ -357,33 +373,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Bytes of a segment are moved once, after equal ones are one on the map side; its occurrences go by a second hash.
     sent = materialize(found.mapInArrow(send, "sig long, uid long, id long, start long, seg binary").withColumn("h", F.xxhash64("seg")), "repeat-segments")
     distinct = materialize(sent.groupBy("sig", "h").agg(F.min("id").alias("id"), F.first("seg").alias("seg")), "repeat-distinct")
+    slim = materialize(sent.select("sig", "h", "uid", "id", "start", F.length("seg").alias("size")), "repeat-occurrences")
+    discard(shared, sent)
     release(docs.sparkSession)
 
     hot = distinct.groupBy("sig").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > bin_bytes).select(F.col("sig").alias("hot"))
     hot = materialize(hot, "repeat-hot")
-    cool = distinct.join(hot, F.col("sig") == F.col("hot"), "left_anti")
-    owners = owners_of_windows(cool).select(F.col("sig").alias("os"), F.col("h").alias("og"), "owners")
+    some_hot = not hot.isEmpty()
+    cool = distinct.join(hot, F.col("sig") == F.col("hot"), "left_anti") if some_hot else distinct
+    owners = materialize(owners_of_windows(cool), "repeat-owners").select(F.col("sig").alias("os"), F.col("h").alias("og"), "owner", "owners")
+    if not some_hot:
+        discard(distinct)
+    release(docs.sparkSession)
 
     def mark(batches):
         for batch in batches:
-            uid, spans = [], []
-            for u, i, start, owners in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                marked = np.frombuffer(owners, np.int64) < i
+            uid, ids, start, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            whole = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            out = [(uid[whole], start[whole], (start + size)[whole])]
+            for r in np.flatnonzero(~whole).tolist():
+                marked = np.frombuffer(batch.column(4)[r].as_buffer(), np.int64) < ids[r]
                 if marked.any():
-                    uid.append(u)
-                    spans.append([{"from": start + a, "to": start + b} for a, b in _runs(marked)])
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["uid", "spans"])
+                    edges = np.array(_runs(marked)) + start[r]
+                    out.append((np.full(len(edges), uid[r]), edges[:, 0], edges[:, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["uid", "from", "to"])
 
     spans_type = "array<struct<from: long, to: long>>"
-    marks = sent.select("sig", "h", "uid", "id", "start").join(owners, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).select("uid", "id", "start", "owners").mapInArrow(mark, f"uid long, spans {spans_type}")
+    joined = slim.join(owners, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).where("owner is null or owner < id")
+    marks = joined.select("uid", "id", "start", "size", "owners").mapInArrow(mark, "uid long, from long, to long")
     # Hashes with very many distinct segments: each window on its own.
+    texts_of_hot = distinct.join(hot, F.col("sig") == F.col("hot")).select(F.col("sig").alias("os"), F.col("h").alias("og"), "seg")
     begin = F.explode(F.sequence(F.lit(1), F.length("seg") - (LENGTH - 1))).alias("b")
-    windows = sent.join(hot, F.col("sig") == F.col("hot")).select("uid", "id", "start", "seg", begin).select("uid", "id", (F.col("start") + F.col("b") - 1).alias("at"), F.expr(f"substring(seg, b, {LENGTH})").alias("w"))
+    windows = slim.join(texts_of_hot, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).select("uid", "id", "start", "seg", begin).select("uid", "id", (F.col("start") + F.col("b") - 1).alias("at"), F.expr(f"substring(seg, b, {LENGTH})").alias("w"))
     least = windows.groupBy("w").agg(F.min("id").alias("least")).withColumnRenamed("w", "lw")
-    single = windows.join(least, F.col("w") == F.col("lw")).where("least < id")
-    single = single.select("uid", F.array(F.struct(F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))).cast(spans_type).alias("spans"))
-    spans = marks.unionByName(single) if not hot.isEmpty() else marks
-    spans = materialize(spans.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeat-spans")
+    single = windows.join(least, F.col("w") == F.col("lw")).where("least < id").select("uid", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
+    marks = marks.unionByName(single) if some_hot else marks
+    spans = materialize(marks.groupBy("uid").agg(F.collect_list(F.struct("from", "to")).cast(spans_type).alias("spans")), "repeat-spans")
+    discard(slim, owners)
     release(docs.sparkSession)
 
     def cut(batches):
