@@ -52,7 +52,7 @@ GROUP_SHINGLES = 4_000_000
 #: Bits of the map of candidates that thins the scan for their texts; fixed, so it may be broadcast.
 FILTER_BITS = 23
 #: Bytes of text whose shingles meet in one task.
-MEET = 40 << 20
+MEET = 24 << 20
 _KNOWN = 0xFFFF
 
 
@@ -174,30 +174,37 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pack(uids, "<i8"), pack(n, "<u4")], names=["to", "uids", "n"])
 
     def meet(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at = -1
+        # Entries are one word each, key and place in `names`; place 0 is no document.
+        held: list[np.ndarray] = []
+        names, at, known_names = [np.zeros(1, np.int64)], -1, 1
 
         def told():
-            keys, who = np.concatenate([k for k, _ in held]), np.concatenate([u for _, u in held])
-            order = np.argsort(keys, kind="stable")
-            keys, who = keys[order], who[order]
-            same = keys[1:] == keys[:-1]
-            shared = (np.append(same, False) | np.append(False, same)) & (who != 0)
-            return packed_counts(*np.unique(who[shared], return_counts=True))
+            entries = np.concatenate(held)
+            held.clear()
+            entries.sort()
+            same = (entries[1:] ^ entries[:-1]) < np.uint64(1 << 32)
+            shared = np.append(same, False)
+            shared[1:] |= same
+            places = (entries[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            counts = np.bincount(places[places > 0], minlength=known_names)
+            some = np.flatnonzero(counts)
+            return packed_counts(np.concatenate(names)[some], counts[some])
 
         for batch in batches:
-            for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                own = np.frombuffer(uids, np.int64)
+            for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], strict=True):
+                keys, which, own = keys.as_buffer(), which.as_buffer(), np.frombuffer(uids.as_buffer(), np.int64).copy()  # the copy lets the batch go
                 if bucket < 0:
                     yield packed_counts(own, np.frombuffer(keys, np.int64))
                     continue
                 if bucket != at and held:
                     yield told()
-                    held = []
+                    names, known_names = [np.zeros(1, np.int64)], 1
                 at, index = bucket, np.frombuffer(which, "<u2")
-                # uid 0 stands twice for a shingle that a slice knows to be shared: its documents have counted it.
-                keys, known = np.frombuffer(keys, "<u4"), index == _KNOWN
-                held.append((np.append(keys, keys[known]), np.append(np.append(own, 0)[np.where(known, len(own), index)], np.zeros(int(known.sum()), np.int64))))
+                # Place 0 stands twice for a shingle that a slice knows to be shared: its documents have counted it.
+                entries, known = np.frombuffer(keys, "<u4").astype(np.uint64) << np.uint64(32), index == _KNOWN
+                held += [entries[known], entries | np.where(known, 0, index.astype(np.int64) + known_names).view(np.uint64)]
+                names.append(own)
+                known_names += len(own)
         if held:
             yield told()
 
