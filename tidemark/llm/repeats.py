@@ -193,13 +193,13 @@ class RunLengthIndex:
         self.head_row = self.heads[order] * (n + 1) + self.starts[order]
         self.n = n
         # Rows with the same first `length` bytes stand together; the smallest owner of each such stretch.
-        together = self._common(suffixes[:-1], suffixes[1:], length) >= length
+        together = self._agree(suffixes[:-1], suffixes[1:], length)
         stretch = np.append(0, np.cumsum(~together))
         self.smallest = np.minimum.reduceat(owner[suffixes], np.flatnonzero(np.append(True, ~together)))
         self.stretch = stretch
 
     def _sort(self) -> np.ndarray:
-        """The suffix array, by prefix doubling from four characters on; ranks are kept for comparisons."""
+        """The suffix array, by prefix tripling (doubling, where keys would not fit) from a few characters on; ranks are kept for comparisons."""
         n = len(self.text)
         radix = int(self.text.max()) + 2
         padded = np.append(self.text + 1, np.zeros(4, np.int64))
@@ -216,16 +216,30 @@ class RunLengthIndex:
             self.ranks.append((size, rank))
             if rank[suffixes[-1]] == n - 1:
                 return suffixes
-            after = np.zeros(n, np.int64)
-            after[: n - size] = rank[size:] + 1
-            key, size = rank * (n + 1) + after, size * 2
+            key, times = rank, 3 if (n + 1) ** 3 < 1 << 62 else 2
+            for i in range(1, times):
+                after = np.zeros(n, np.int64)
+                after[: max(0, n - i * size)] = rank[i * size :] + 1
+                key = key * (n + 1) + after
+            size *= times
+
+    def _agree(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """Whether the text agrees over `length` characters from positions a and b, by blocks that overlap."""
+        size, rank = max((r for r in self.ranks if r[0] <= length), key=lambda r: r[0], default=(0, None))
+        if not size:
+            return self._common(a, b, length) >= length
+        same = rank[a] == rank[b]
+        for shift in [*range(size, length - size, size), length - size]:
+            # Blocks agree only where no end mark is in them, so what is cut off at the text's end is never needed.
+            same[same] = rank[np.minimum(a[same] + shift, len(rank) - 1)] == rank[np.minimum(b[same] + shift, len(rank) - 1)]
+        return same
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """How far the text agrees from positions a and b, up to about `most`."""
         a, b, n = a.copy(), b.copy(), len(self.text)
         start = a.copy()
         for size, rank in reversed(self.ranks):
-            for _ in range(2 if size == self.ranks[-1][0] else 1):
+            for _ in range(2):
                 ok = (a < n) & (b < n)
                 ok[ok] = rank[a[ok]] == rank[b[ok]]
                 a, b = a + size * ok, b + size * ok
@@ -341,8 +355,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holders = materialize(holders, "repeat-holders")
     # A text that may hold repeats, once: of rows with its smallest id any is as good.
     long = told.where(f"octet_length(text) >= {LENGTH} and id is not null").join(holders.select(F.col("sha").alias("s"), "first"), F.col("sha") == F.col("s")).where("id = first")
-    long = long.select(F.xxhash64("id", "text").alias("uid"), "id", "text").dropDuplicates(["uid"])
+    long = long.dropDuplicates(["sha"]).select(F.xxhash64("id", "text").alias("uid"), "id", "text")
     long = materialize(long, "repeat-texts")
+    release(docs.sparkSession)
     total = int(long.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = blob_partitions(docs, total, MEET)
     shared = shared_hashes(long.select("uid", "text"), buckets)
