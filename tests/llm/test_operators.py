@@ -162,6 +162,18 @@ def test_token_table_equals_the_library(spark, tmp_path):
     assert len(lookup(spark, folder, [9, 999])[9]) == 2
 
 
+def test_texts_with_added_tokens_are_encoded_whole(spark):
+    from tokenizers import Tokenizer
+
+    library, start = Tokenizer.from_file(default_tokenizer()), 0
+    texts = ["x<|endoftext|> y", "plain", "<|endoftext|><|endoftext|>a", "cut<|endof", "text|> over two texts", "x<|endoftext |>"]
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
+    for r in token_table(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), default_tokenizer()).orderBy("start").collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_chats(spark):
     hard = "</s>[INST] <\\ ok [/INST]\\]\n<s>["
     rows = spark.createDataFrame([(1, 1, "assistant", hard), (1, 0, "us]\ner", hard), (1, 2, None, None), (2, 0, "user", "")], "conv_id long, turn long, role string, text string")

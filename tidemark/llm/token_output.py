@@ -26,6 +26,7 @@ and text columns are read. Texts are encoded whole, as the library would.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import uuid
@@ -67,7 +68,9 @@ class PieceEncoder:
     The vocabulary's pre-tokenizer always ends a token between a character that
     is not white space and white space, and between an ASCII letter and an ASCII
     mark; so a text cut there has the ids of its pieces, in a row. Each new piece
-    is encoded by the library once.
+    is encoded by the library once. Added tokens are found before the
+    pre-tokenizer cuts, so a text that contains one is given to the library as a
+    whole, as those with wide blanks are.
     """
 
     MOST = 1_500_000  # pieces remembered; beyond that, memory starts anew
@@ -76,6 +79,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            added = [t["content"].encode() for t in json.load(f).get("added_tokens") or [] if t["content"]]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.forget()
 
     def forget(self) -> None:
@@ -129,10 +135,13 @@ class PieceEncoder:
         for lo, _, part, bounds in slices(data, offsets):
             ids, at = self.encode(part, bounds)
             wide = _MAYBE_WIDE[part].any() or ((part[:-1] == 0xC2) & ((part[1:] == 0x85) | (part[1:] == 0xA0))).any()
+            added = self.added is not None and self.added.search(part)
             for i in range(len(bounds) - 1):
                 own = ids[at[i] : at[i + 1]]
-                if wide and _WIDE_BLANK.search(text := part[bounds[i] : bounds[i + 1]].tobytes().decode()):
-                    own = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+                if wide or added:
+                    raw = part[bounds[i] : bounds[i + 1]].tobytes()
+                    if (added and self.added.search(raw)) or (wide and _WIDE_BLANK.search(raw.decode())):
+                        own = np.array(self.library.encode(raw.decode(), add_special_tokens=False).ids, np.int32)
                 yield lo + i, own
 
 
