@@ -111,6 +111,35 @@ def test_tiling():
     assert tile(item, np.arange(50, 90, dtype=np.uint64)) == []
 
 
+def brute_tiles(item, text, k):
+    """The longest match of unmarked words, again and again."""
+    item, text, tiles = list(item), list(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] is not None and item[i + n] == text[j + n]:
+                    n += 1
+                best = min(best, (-n, i, j))
+        n, i, j = best
+        if -n < k:
+            return tiles
+        tiles.append((i, j, -n))
+        item[i : i - n], text[j : j - n] = [None] * -n, [None] * -n
+
+
+def test_tiling_goes_on_with_what_is_left():
+    item = np.arange(20, dtype=np.uint64)
+    text = np.concatenate([item[:9], [100], item[8:17], [101, 101, 101]]).astype(np.uint64)  # runs that overlap by a word
+    assert tile(item, text) == [(0, 0, 9), (9, 11, 8)]
+    rng = random.Random(8)
+    for _ in range(300):
+        kinds = rng.choice([2, 3, 8])
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(1, 45))] for _ in range(2))
+        assert tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute_tiles(a, b, 3)
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(0, LONG[:300]), (1, None), (2, "too short")], "item_id long, text string")
     docs = table(spark, ROWS)

@@ -20,6 +20,8 @@ on either side give clean or empty results. Other columns pass through
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,13 +98,20 @@ def tile(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE) -> list[t
         if longest > 2 * length:
             length = longest
             continue
-        for i, j, n in sorted(found, key=lambda f: (-f[2], f[0], f[1])):
-            if not in_item[i : i + n].any() and not in_text[j : j + n].any():
-                in_item[i : i + n] = in_text[j : j + n] = True
-                tiles.append((i, j, n))
-            # What a longer tile has partly covered is found again, shorter, in a later round.
-        if any(not in_item[i : i + n].any() and not in_text[j : j + n].any() for i, j, n in found):
-            continue
+        heap = [(-n, i, j) for i, j, n in found]
+        heapq.heapify(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            taken = in_item[i : i - n] | in_text[j : j - n]
+            if not taken.any():
+                in_item[i : i - n] = in_text[j : j - n] = True
+                tiles.append((i, j, -n))
+                continue
+            # What longer tiles left of it is a match itself; parts under this length are found again in a later round.
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= length:
+                    heapq.heappush(heap, (a - b, i + a, j + a))
         if length == min_tile:
             return tiles
         length = max(min_tile, length // 2)
