@@ -1,9 +1,11 @@
 """Text traps, intervals, and queries against their SQL on the smallest tables."""
 
+import hashlib
 import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.functions import text as T
 from tidemark.plans import registry
+from tidemark.plans.views import view
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["complaint_share", "weekly_spine", "spike_topics", "allocate_prop", "replacement_plan", "validate_merges", "bootstrap_ci", "centroid_assign", "stream_weekly"]
@@ -60,3 +63,26 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns)
     key = lambda df: sorted(tuple(str(None if v != v else round(float(v), 9) if isinstance(v, int | float) else v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert key(ours) == key(theirs)
+
+
+def test_bootstrap_takes_all_rows_2000_times(spark):
+    """Whole rows drawn with replacement within each app, one by one."""
+    labeled = view(spark, SF, "labeled").select("review_id", "app", "gold", "pred_label").toPandas()
+    drawn = {}
+    for app, rows in labeled.groupby("app"):
+        y, p = (rows.gold == "negative").to_numpy(), (rows.pred_label == "negative").to_numpy()
+        order = np.lexsort((~p, ~y))
+        n, ids = len(rows), rows.review_id.tolist()
+        picks = (int(hashlib.md5(f"9:{rep}:{app}:{i}".encode()).hexdigest()[:12], 16) % n for rep in range(2000) for i in ids)
+        picked = order[np.fromiter(picks, np.int64, 2000 * n).reshape(2000, n)]
+        drawn[app] = y[picked], p[picked]
+
+    def diffs(y, p):
+        return (y & p).sum(axis=1) / y.sum(axis=1) - (~y & p).sum(axis=1) / (~y).sum(axis=1)
+
+    everything = diffs(*(np.concatenate(part, axis=1) for part in zip(*drawn.values(), strict=True)))
+    ci, above = (registry.QUERIES[name](spark, SF).first() for name in ("bootstrap_ci", "boot_prob"))
+    assert np.allclose([ci.lo, ci.hi], np.percentile(everything, [2.5, 97.5]), atol=1e-12) and above.above == (everything > 0).mean()
+    found = {r.app: [r.lo, r.hi] for r in registry.QUERIES["bootstrap_app"](spark, SF).collect()}
+    assert found.keys() == drawn.keys()
+    assert all(np.allclose(found[app], np.percentile(diffs(*drawn[app]), [2.5, 97.5]), atol=1e-12) for app in drawn)

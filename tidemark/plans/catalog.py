@@ -190,18 +190,29 @@ SQL["score_unique_text"] = "WITH d AS (SELECT DISTINCT text_clean FROM {reviews}
 SQL["analyze"] = "SELECT review_id, is_complaint AS complaint, CASE WHEN pred_label = 'negative' AND length(text_clean) >= 8 THEN topic END AS topic, CASE WHEN NOT is_complaint THEN 'no complaint' WHEN pred_label <> 'negative' THEN 'stars only' WHEN length(text_clean) < 8 THEN 'too short' WHEN topic = -1 THEN 'no clear topic' ELSE 'topic' END AS note FROM {reviews}"
 SQL["embed_cache_miss"] = "WITH d AS (SELECT DISTINCT sha2(content, 256) AS h FROM {docs}), seen AS (SELECT DISTINCT sha2(content, 256) AS h FROM {docs} WHERE review_id % 2 = 0) SELECT h FROM d WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.h = d.h)"
 DUCK["embed_cache_miss"] = SQL["embed_cache_miss"].replace("sha2(content, 256)", "sha256(content)")
-_PICK = "CAST(conv(substr(md5('9:' || CAST(rep AS STRING) || ':' || app || ':' || CAST(pos AS STRING)), 1, 12), 16, 10) AS BIGINT) % n + 1"
+#: A pick among the rows of an app, 1 to n, for each replicate and row. Rows are taken in the order of their cells (gold negative or not, predicted or not),
+#: so the last rows of the cells tell what was picked, and nothing but counts of cells is kept of a replicate.
+_PICK = "CAST(conv(substr(md5('9:' || CAST(rep AS STRING) || ':' || app || ':' || CAST(review_id AS STRING)), 1, 12), 16, 10) AS BIGINT) % n + 1"
+_PICK_DUCK = _PICK.replace("CAST(conv(substr(", "CAST(('0x' || substr(").replace(", 1, 12), 16, 10) AS BIGINT)", ", 1, 12)) AS BIGINT)")
+_REPS = "SELECT id AS rep FROM range(2000)"
 _BOOT = """
-WITH base AS (SELECT app, CASE WHEN gold = 'negative' THEN 1 ELSE 0 END AS y, CASE WHEN pred_label = 'negative' THEN 1 ELSE 0 END AS p, row_number() OVER (PARTITION BY app ORDER BY review_id) AS pos, count(*) OVER (PARTITION BY app) AS n FROM (SELECT * FROM {labeled} WHERE review_id % 25 = 0) AS s),
-reps AS (SELECT id AS rep FROM range(200)),
-picks AS (SELECT rep, app, {pick} AS pick FROM base CROSS JOIN reps),
-stat AS (SELECT rep, CAST(sum(b.y * b.p) AS DOUBLE) / CAST(sum(b.y) AS DOUBLE) - CAST(sum((1 - b.y) * b.p) AS DOUBLE) / CAST(sum(1 - b.y) AS DOUBLE) AS diff FROM picks JOIN base b ON picks.app = b.app AND picks.pick = b.pos GROUP BY rep)
+WITH base AS (SELECT review_id, app, gold = 'negative' AS y, pred_label = 'negative' AS p FROM {labeled}),
+cells AS (SELECT app AS cell_app, count(*) AS n, count_if(y AND p) AS last_yp, count_if(y) AS last_y, count_if(y OR p) AS last_p FROM base GROUP BY app),
+reps AS ({reps}),
+spread AS (SELECT /*+ REPARTITION(64) */ review_id, app FROM base),
+picks AS (SELECT rep, app, {pick} AS pick, last_yp, last_y, last_p FROM spread JOIN cells ON app = cell_app CROSS JOIN reps),
+counts AS (SELECT rep, app, count_if(pick <= last_yp) AS yp, count_if(pick <= last_y) AS y, count_if(pick > last_y AND pick <= last_p) AS np, count_if(pick > last_y) AS ny FROM picks GROUP BY rep, app),
+stat AS (SELECT {keys}, CAST(sum(yp) AS DOUBLE) / NULLIF(CAST(sum(y) AS DOUBLE), 0e0) - CAST(sum(np) AS DOUBLE) / NULLIF(CAST(sum(ny) AS DOUBLE), 0e0) AS diff FROM counts GROUP BY {keys})
 """
-for _name, _tail in {"bootstrap_ci": "SELECT percentile(diff, 0.025) AS lo, percentile(diff, 0.975) AS hi FROM stat", "boot_prob": "SELECT CAST(count_if(diff > 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS above FROM stat"}.items():
-    SQL[_name] = _BOOT.replace("{pick}", _PICK) + _tail
-    DUCK[_name] = (_BOOT.replace("{pick}", _PICK.replace("CAST(conv(substr(", "CAST(('0x' || substr(").replace(", 1, 12), 16, 10) AS BIGINT)", ", 1, 12)) AS BIGINT)")).replace("SELECT id AS rep FROM range(200)", "SELECT range AS rep FROM range(200)") + _tail).replace("percentile(", "quantile_cont(")
-SQL["bootstrap_app"] = SQL["bootstrap_ci"].replace("SELECT rep, CAST(sum(b.y * b.p)", "SELECT rep, picks.app, CAST(sum(b.y * b.p)").replace("GROUP BY rep)", "GROUP BY rep, picks.app)").replace("SELECT percentile", "SELECT app, percentile") + " GROUP BY app"
-DUCK["bootstrap_app"] = DUCK["bootstrap_ci"].replace("SELECT rep, CAST(sum(b.y * b.p)", "SELECT rep, picks.app, CAST(sum(b.y * b.p)").replace("GROUP BY rep)", "GROUP BY rep, picks.app)").replace("SELECT quantile_cont", "SELECT app, quantile_cont") + " GROUP BY app"
+_INTERVAL = "percentile(diff, 0.025) AS lo, percentile(diff, 0.975) AS hi FROM stat"
+for _name, _keys, _tail in (
+    ("bootstrap_ci", "rep", f"SELECT {_INTERVAL}"),
+    ("boot_prob", "rep", "SELECT CAST(count_if(diff > 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS above FROM stat"),
+    ("bootstrap_app", "rep, app", f"SELECT app, {_INTERVAL} GROUP BY app"),
+):
+    _text = _BOOT.replace("{keys}", _keys) + _tail
+    SQL[_name] = _text.replace("{pick}", _PICK).replace("{reps}", _REPS)
+    DUCK[_name] = _text.replace("{pick}", _PICK_DUCK).replace("{reps}", _REPS.replace("SELECT id", "SELECT range")).replace("percentile(", "quantile_cont(")
 
 QUERIES = {name: partial(run, name) for name in SQL}
 ORACLES = {name: duck(DUCK.get(name, sql)) for name, sql in SQL.items()}
