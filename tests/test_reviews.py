@@ -86,3 +86,28 @@ def test_bootstrap_takes_all_rows_2000_times(spark):
     found = {r.app: [r.lo, r.hi] for r in registry.QUERIES["bootstrap_app"](spark, SF).collect()}
     assert found.keys() == drawn.keys()
     assert all(np.allclose(found[app], np.percentile(diffs(*drawn[app]), [2.5, 97.5]), atol=1e-12) for app in drawn)
+
+
+def ranked_strata(spark):
+    """Rows of each (app, weak_label), by md5 of seed and id."""
+    strata = {}
+    for r in view(spark, SF, "labeled").collect():
+        strata.setdefault((r.app, r.weak_label), []).append(r)
+    return {k: sorted(rows, key=lambda r: (hashlib.md5(f"42:{r.review_id}".encode()).hexdigest(), r.review_id)) for k, rows in strata.items()}
+
+
+def test_ordinal_check_aligns_all_documents(spark):
+    rows = [(r.app, r.review_id) for r in view(spark, SF, "docs").select("app", "review_id").collect()]
+    left, right = sorted(i for _, i in rows), [i for _, i in sorted(rows)]
+    bigger = os.path.join(os.path.dirname(SF), "sf0.01")  # more than 200 documents
+    assert registry.QUERIES["ordinal_check"](spark, bigger).count() == view(spark, bigger, "docs").count() > 200
+    found = registry.QUERIES["ordinal_check"](spark, SF).orderBy("rn").collect()
+    assert [(r.left_id, r.right_id, r.same) for r in found] == [(a, b, a == b) for a, b in zip(left, right, strict=True)]
+
+
+def test_samples_are_the_ranked_ones(spark):
+    strata = ranked_strata(spark)
+    weights = {r.review_id: r.weight for r in registry.QUERIES["strata_weights"](spark, SF).collect()}
+    assert weights == {r.review_id: len(rows) / min(50, len(rows)) for rows in strata.values() for r in rows[:50]}
+    share = sum(len(rows) * sum(r.gold == "negative" for r in rows[:50]) / min(50, len(rows)) for rows in strata.values()) / sum(map(len, strata.values()))
+    assert math.isclose(registry.QUERIES["poststratified"](spark, SF).first().share, share, abs_tol=1e-9)

@@ -30,6 +30,9 @@ def rnd(seed: int, key: str = "review_id") -> str:
 LOW, HIGH = wilson_sql("CAST(k AS DOUBLE)", "CAST(n AS DOUBLE)")
 ROLL = "CASE WHEN grouping(app) = 1 THEN 'all' ELSE app END AS app"
 DIV = "CAST({} AS DOUBLE) / NULLIF(CAST({} AS DOUBLE), 0e0)".format
+_RANKED = f"SELECT review_id, app, weak_label, gold, score, row_number() OVER (PARTITION BY app, weak_label ORDER BY {rnd(42)}, review_id) AS rn, count(*) OVER (PARTITION BY app, weak_label) AS n FROM {{labeled}}"
+#: The stratified sample, with its ranks.
+_SAMPLE = f"(SELECT * FROM ({_RANKED}) AS t WHERE rn <= 50)"
 
 # ---- scans, filters, cases
 SQL["scan_parquet"] = "SELECT * FROM {orders}"
@@ -52,12 +55,12 @@ SQL["parse_review"] = "SELECT review_id, text_clean AS content, score, CASE WHEN
 SQL["join_predictions"] = "SELECT r.review_id, r.app, r.text_clean, p.pred_label FROM {reviews} r JOIN {reviews} p ON r.review_id = p.review_id WHERE p.is_complaint"
 SQL["trends_base"] = "SELECT r.review_id, r.app, CAST(r.week AS STRING) AS week, CAST(r.day AS STRING) AS day, coalesce(a.in_fit, false) AS in_fit, a.topic FROM {reviews} r LEFT JOIN (SELECT review_id, topic, true AS in_fit FROM {reviews} WHERE is_complaint) a ON r.review_id = a.review_id"
 SQL["attach_text"] = "SELECT l.doc_id, l.quality, length(d.content) AS n_text FROM {labels} l LEFT JOIN {docs} d ON l.doc_id = d.review_id"
-SQL["strata_weights"] = "SELECT s.review_id, s.app, s.weak_label, CAST(p.n AS DOUBLE) / CAST(count(*) OVER (PARTITION BY s.app, s.weak_label) AS DOUBLE) AS weight FROM (SELECT * FROM {labeled} WHERE review_id % 10 = 0) s JOIN (SELECT app, weak_label, count(*) AS n FROM {labeled} GROUP BY app, weak_label) p ON s.app = p.app AND s.weak_label = p.weak_label"
+SQL["strata_weights"] = f"SELECT s.review_id, s.app, s.weak_label, CAST(p.n AS DOUBLE) / CAST(count(*) OVER (PARTITION BY s.app, s.weak_label) AS DOUBLE) AS weight FROM {_SAMPLE} s JOIN (SELECT app, weak_label, count(*) AS n FROM {{labeled}} GROUP BY app, weak_label) p ON s.app = p.app AND s.weak_label = p.weak_label"
 SQL["topic_map"] = "SELECT r.review_id, r.topic, m.name FROM {reviews} r LEFT JOIN (VALUES (-1, 'outlier'), (0, 'login'), (1, 'payment'), (2, 'update'), (3, 'login')) AS m(topic, name) ON r.topic = m.topic"
 SQL["join_semi"] = "SELECT review_id, app FROM {docs} WHERE review_id IN (SELECT doc_id FROM {labels} WHERE quality = 0)"
 SQL["join_anti"] = "SELECT review_id, app FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.review_id)"
 SQL["exclude_id_text"] = "SELECT review_id FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.review_id AND l.toxic = 1) AND NOT EXISTS (SELECT 1 FROM {labels} l JOIN {documents} x ON l.doc_id = x.doc_id WHERE l.toxic = 1 AND lower(x.text) = lower(d.content))"
-SQL["ordinal_check"] = "SELECT a.rn, a.review_id AS left_id, b.review_id AS right_id, a.review_id = b.review_id AS same FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) AS rn FROM {docs} WHERE review_id < 200) a JOIN (SELECT review_id, row_number() OVER (ORDER BY app, review_id) AS rn FROM {docs} WHERE review_id < 200) b ON a.rn = b.rn"
+SQL["ordinal_check"] = "SELECT a.rn, a.review_id AS left_id, b.review_id AS right_id, a.review_id = b.review_id AS same FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) AS rn FROM {docs}) a JOIN (SELECT review_id, row_number() OVER (ORDER BY app, review_id) AS rn FROM {docs}) b ON a.rn = b.rn"
 SQL["replacement_plan"] = """
 WITH slots AS (SELECT review_id AS slot_id, app, row_number() OVER (PARTITION BY app ORDER BY review_id) AS k FROM {labeled} WHERE review_id % 200 = 0),
 reserve AS (SELECT review_id, app, review_id % 7 <> 0 AS valid, sum(CASE WHEN review_id % 997 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY app ORDER BY review_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unlabeled FROM {labeled} WHERE review_id % 50 = 1),
@@ -133,7 +136,7 @@ SQL["app_profile"] = f"SELECT topic, app AS dominant, n, {DIV('n', 'total')} AS
 SQL["bucket_shares"] = f"SELECT {ROLL}, {DIV('count_if(topic = -1)', 'count(*)')} AS outliers, {DIV('count_if(topic = 0)', 'count(*)')} AS unspecified FROM {{reviews}} WHERE is_complaint GROUP BY GROUPING SETS ((app), ())"
 SQL["gap_check"] = "SELECT * FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM {docs} WHERE content LIKE '%worthless%' OR content LIKE '%trash%' GROUP BY source) AS t WHERE place <= 6"
 SQL["fit_shares"] = f"SELECT opt, k, n, {DIV('k', 'n')} AS share, {LOW} AS lo, {HIGH} AS hi FROM (SELECT o.opt, count_if(f.fits = o.opt) AS k, count(*) AS n FROM (SELECT CASE review_id % 4 WHEN 0 THEN 'no' WHEN 1 THEN 'partly' ELSE 'yes' END AS fits FROM {{reviews}} WHERE is_complaint) f CROSS JOIN (VALUES ('yes'), ('partly'), ('no')) AS o(opt) GROUP BY o.opt) AS t"
-SQL["poststratified"] = "WITH cells AS (SELECT app, weak_label, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(gold = 'negative') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m FROM {labeled} WHERE review_id % 10 = 0 GROUP BY app, weak_label), pop AS (SELECT app, weak_label, CAST(count(*) AS DOUBLE) AS w FROM {labeled} GROUP BY app, weak_label) SELECT round(sum(w * m) / sum(w), 9) AS share FROM cells JOIN pop ON cells.app = pop.app AND cells.weak_label = pop.weak_label"
+SQL["poststratified"] = f"WITH cells AS (SELECT app, weak_label, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(gold = 'negative') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m FROM {_SAMPLE} AS s GROUP BY app, weak_label), pop AS (SELECT app, weak_label, CAST(count(*) AS DOUBLE) AS w FROM {{labeled}} GROUP BY app, weak_label) SELECT round(sum(w * m) / sum(w), 9) AS share FROM cells JOIN pop ON cells.app = pop.app AND cells.weak_label = pop.weak_label"
 SQL["cluster_summary"] = f"SELECT count_if(topic <> -1) AS n_topics, max(CASE WHEN topic <> -1 THEN n END) AS largest, min(CASE WHEN topic <> -1 THEN n END) AS smallest, {DIV('sum(CASE WHEN topic = -1 THEN n ELSE 0 END)', 'sum(n)')} AS outlier_share FROM (SELECT topic, count(*) AS n FROM {{vectors}} GROUP BY topic) AS t"
 SQL["class_weights"] = "SELECT gold, n, CAST(total AS DOUBLE) / (3e0 * CAST(n AS DOUBLE)) AS balanced, sqrt(CAST(total AS DOUBLE) / (3e0 * CAST(n AS DOUBLE))) AS softened FROM (SELECT gold, count(*) AS n, sum(count(*)) OVER () AS total FROM {labeled} GROUP BY gold) AS t"
 SQL["majority"] = "SELECT app, gold FROM (SELECT app, gold, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, gold) AS rn FROM {labeled} GROUP BY app, gold) AS t WHERE rn = 1"
@@ -146,7 +149,6 @@ SQL["model_pool"] = "SELECT review_id, app FROM (SELECT review_id, app, row_numb
 SQL["one_per_text"] = "SELECT review_id, app, text_clean FROM (SELECT *, row_number() OVER (PARTITION BY text_clean ORDER BY ts, review_id) AS rn FROM {reviews}) AS t WHERE rn = 1"
 SQL["topk_texts"] = "SELECT app, text_clean, n, rn FROM (SELECT app, text_clean, count(*) AS n, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, text_clean) AS rn FROM {reviews} GROUP BY app, text_clean) AS t WHERE rn <= 5"
 SQL["assign_ids"] = f"SELECT 'G' || lpad(CAST(row_number() OVER (ORDER BY {rnd(11)}, review_id) AS STRING), 5, '0') AS gold_id, review_id FROM {{docs}} WHERE quality IS NOT NULL"
-_RANKED = f"SELECT review_id, app, weak_label, gold, score, row_number() OVER (PARTITION BY app, weak_label ORDER BY {rnd(42)}, review_id) AS rn, count(*) OVER (PARTITION BY app, weak_label) AS n FROM {{labeled}}"
 SQL["stratified_sample"] = f"SELECT review_id, app, weak_label FROM ({_RANKED}) AS t WHERE rn <= 50"
 SQL["gold_reserve"] = f"SELECT review_id, app, weak_label, CASE WHEN rn <= 40 THEN 'gold' ELSE 'reserve' END AS part FROM ({_RANKED}) AS t WHERE rn <= 60"
 SQL["roundrobin_errors"] = f"WITH e AS (SELECT review_id, gold || '>' || pred_label AS kind FROM {{labeled}} WHERE gold <> pred_label), r AS (SELECT review_id, kind, row_number() OVER (PARTITION BY kind ORDER BY {rnd(3)}, review_id) AS rn, count(*) OVER (PARTITION BY kind) AS size FROM e) SELECT review_id, kind, rn FROM r ORDER BY rn, size, kind LIMIT 40"
