@@ -246,3 +246,14 @@ def test_quality_and_language(spark):
     assert all(found[i].lang_pred == "en" for i, *_ in good) and all(found[i].lang_pred == "de" for i, *_ in bad)
     assert found[5].lang_pred == found[6].lang_pred == "und" and found[5].score == 0
     assert infer_languages(docs, docs.limit(0)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_a_document_may_have_all_languages(spark):
+    rng = random.Random(4)
+    letters = {"de": "abcdef", "en": "ghijkl", "es": "mnopqr", "fr": "stuvwx"}
+    texts = {lang: " ".join("".join(rng.choice(own) for _ in range(6)) for _ in range(200)) for lang, own in letters.items()}
+    training = table(spark, [(i, t, lang, "a") for i, (lang, t) in enumerate(texts.items())])
+    mixed = table(spark, [(9, " ".join(texts.values()), None, "a"), (10, texts["en"], None, "a")])
+    found = {r.doc_id: r for r in infer_languages(mixed, training).collect()}
+    assert sorted(found[9].langs) == sorted(letters) and np.allclose(found[9].shares, 0.25, atol=0.02)
+    assert found[10].langs == ["en"]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bytescan import LOWER, RUNS, slices, utf8
 from tidemark.llm.shared import crc32_bucket
 
-BITS, SMOOTH, ROUNDS, MOST, PENALTY = 16, 0.5, 6, 3, 6.0
+BITS, SMOOTH, ROUNDS, PENALTY = 16, 0.5, 6, 6.0
 UNKNOWN = "und"
 _LETTERS = RUNS == 1
 #: Marks and digits count as blanks.
@@ -123,9 +123,10 @@ class Mixture:
             np.put_along_axis(single, order[:, :1], 1.0, axis=1)
             best, best_value = single, np.add.reduceat(np.log((like * np.repeat(single.astype(np.float32), sizes, axis=0)).sum(axis=1), dtype=np.float64), first)
             cost = PENALTY * 0.5 * np.log(sizes + 1.0)
-            # No set can beat the full one's likelihood; where that doesn't pay for a second language, one is best.
-            open_ = np.flatnonzero(full - cost > best_value)
-            for k in range(2, min(MOST, len(self.langs)) + 1):
+            ranked = np.take_along_axis(share, order, axis=1)
+            for k in range(2, len(self.langs) + 1):
+                # No set can beat the full one's likelihood; where that doesn't pay for k languages, what was found is best.
+                open_ = np.flatnonzero((full - (k - 1) * cost > best_value) & (ranked[:, k - 1] > 0))
                 if not len(open_):
                     break
                 pick = np.concatenate([np.arange(first[i], first[i] + sizes[i]) for i in open_])
