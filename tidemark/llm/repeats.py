@@ -6,23 +6,24 @@ hash of its GRAM-byte grams; so windows are dealt by that hash, and only windows
 whose hash two documents share are looked at further:
 
 1. Equal texts are one, held by the smallest id; a copy of LENGTH bytes or more
-   goes whole.
+   goes whole. Only digests are moved for that.
 2. A scan cuts each text into segments, runs of windows with one smallest hash,
    and sends the hashes, packed, to where they are compared. A hash that several
    documents of a scan's slice share is known to be shared and sent once, so a
    passage in a third of all documents costs an entry a slice.
-3. Texts send the segments whose hash is shared. Equal segments become one, with
-   the smallest id, before they are shuffled.
-4. Where they meet, distinct segments are concatenated, and a Burrows-Wheeler
-   transform is built over them, run-length compressed, with the suffix array
-   sampled at run ends. Every segment is streamed through it from right to left;
-   where the matching statistic reaches LENGTH, the match's rows are known, and
-   with them the smallest id that has the string.
+3. Texts write the segments whose hash is shared, by place and digest; of equal
+   ones in a slice only the first with its bytes. A hash with one distinct segment
+   has nothing to compare: its smallest id has all of its windows.
+4. Bytes of the others' distinct segments are moved, once each. Where they meet,
+   they are concatenated, and a Burrows-Wheeler transform is built over them,
+   run-length compressed, with the suffix array sampled at run ends. Segments are
+   streamed through it from right to left; where the matching statistic reaches
+   LENGTH, the match's rows are known, and with them the smallest id that has the
+   string. The segment of a hash's smallest id needn't be streamed.
 5. Marked windows go back to their documents.
 
-A hash with one distinct segment has nothing to compare: its smallest id has all
-of its windows. Hashes that gather more than HOT bytes of distinct segments are
-compared window by window in the engine instead, which needs no memory per hash.
+Hashes that gather more than HOT bytes of distinct segments are compared window
+by window in the engine instead, which needs no memory per hash.
 
 Defined results: null text is empty; texts under LENGTH bytes lose nothing; rows
 of one id count as one document, so they don't remove each other's bytes unless
@@ -41,13 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import Hasher, slices, utf8
-from tidemark.llm.shared import blob_partitions, discard, materialize, release
+from tidemark.llm.shared import blob_partitions, discard, materialize, trimmed
 
 LENGTH, GRAM = 50, 20
 #: Bytes of distinct segments after which an index is full, and beyond which a hash's are too many for one.
-BIN, HOT = 1 << 18, 1 << 20
-#: Bytes of text whose hashes meet in one task.
-MEET = 32 << 20
+BIN, HOT = 1 << 17, 1 << 20
+#: Bytes of text whose hashes meet at once, and partitions they are dealt to at most; a partition takes its share one after another.
+MEET, MEETINGS = 32 << 20, 1 << 14
 _KNOWN = 0xFFFF
 
 
@@ -89,15 +90,18 @@ def _signature(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
-    """(uid, sig): hashes of a text that another text also has; rows (uid, text)."""
+    """(uid, sig): hashes of a text that another text also has, once or more often; rows (uid, text), where copies have one uid."""
 
+    @trimmed
     def scan(batches):
         for batch in batches:
             uids = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for lo, hi, part, bounds in slices(data, offsets):
                 hashes, doc, _, _ = segments(part, bounds)
-                sig = _signature(hashes, buckets)
+                sig, own = _signature(hashes, buckets), uids[lo:hi]
+                _, first, same = np.unique(own, return_index=True, return_inverse=True)
+                doc = first[same][doc]  # copies in a slice are one
                 order = np.lexsort((doc, sig))
                 sig, doc = sig[order], doc[order]
                 new = np.ones(len(sig), bool)
@@ -108,7 +112,6 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
                 first = np.ones(len(sig), bool)
                 first[1:] = sig[1:] != sig[:-1]
                 alone = first & np.append(first[1:], True)
-                own = uids[lo:hi]
                 out = {"bucket": [-1], "keys": [sig[~alone].tobytes()], "which": [b""], "uids": [own[doc[~alone]].tobytes()]}
                 sig, doc, alone = sig[first], np.where(alone, doc, _KNOWN)[first], None
                 at = np.searchsorted(sig >> 32, np.arange(buckets + 1))
@@ -123,6 +126,7 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
                     out["uids"].append(own[used].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("keys", "which", "uids")]], names=list(out))
 
+    @trimmed
     def meet(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         at = -1
@@ -131,14 +135,14 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
             keys, uids = np.concatenate([k for k, _ in held]), np.concatenate([u for _, u in held])
             order = np.argsort(keys, kind="stable")
             keys, uids = keys[order], uids[order]
-            same = keys[1:] == keys[:-1]
-            shared = np.append(same, False) | np.insert(same, 0, False)
-            shared &= uids != 0
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            many = np.minimum.reduceat(uids, first) != np.maximum.reduceat(uids, first)
+            shared = np.repeat(many, np.diff(np.append(first, len(keys)))) & (uids != 0)
             return pa.RecordBatch.from_arrays([pa.array(uids[shared]), pa.array((at << 32) | keys[shared].astype(np.int64))], names=["uid", "sig"])
 
         for batch in batches:
-            for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                own = np.frombuffer(uids, np.int64)
+            for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], strict=True):
+                keys, which, own = keys.as_buffer(), which.as_buffer(), np.frombuffer(uids.as_buffer(), np.int64)
                 if bucket < 0:
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.frombuffer(keys, np.int64))], names=["uid", "sig"])
                     continue
@@ -147,16 +151,18 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
                     held = []
                 at = bucket
                 index = np.frombuffer(which, "<u2")
-                # Where a slice knows a hash to be shared, uid 0 stands twice for its texts: they know already.
-                who = np.append(own, 0)[np.where(index == _KNOWN, len(own), index)]
-                keys = np.frombuffer(keys, "<u4")
-                held.append((np.concatenate([keys, keys[index == _KNOWN]]), np.concatenate([who, np.zeros(int((index == _KNOWN).sum()), np.int64)])))
+                # Where a slice knows a hash to be shared, 0 stands for its texts: they know already.
+                held.append((np.frombuffer(keys, "<u4").copy(), np.append(own, 0)[np.where(index == _KNOWN, len(own), index)]))
         if held:
             yield told()
 
     packed = texts.mapInArrow(scan, "bucket int, keys binary, which binary, uids binary")
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("uids")).otherwise(F.col("bucket").cast("long"))
-    return packed.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(meet, "uid long, sig long")
+    parts = min(buckets, MEETINGS)
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("uids"), F.lit(parts))).otherwise(F.col("bucket") % parts).cast("int")
+    dealt = packed.repartitionById(parts, spread)
+    if buckets > parts:
+        dealt = dealt.sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "uid long, sig long")
 
 
 # ---- the index ------------------------------------------------------------------------------------------------------
@@ -182,6 +188,7 @@ class RunLengthIndex:
         new = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         self.heads, self.starts = bwt[new], new
         lengths = np.diff(np.append(new, n))
+        self.run_of = np.repeat(np.arange(len(new)), lengths)
         order = np.argsort(self.heads, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         self.first_row = np.empty(len(new), np.int64)  # where a run's first row goes when its head is put in front
@@ -235,18 +242,15 @@ class RunLengthIndex:
         return same
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """How far the text agrees from positions a and b, up to about `most`."""
-        a, b, n = a.copy(), b.copy(), len(self.text)
-        start = a.copy()
-        for size, rank in reversed(self.ranks):
-            for _ in range(2):
-                ok = (a < n) & (b < n)
-                ok[ok] = rank[a[ok]] == rank[b[ok]]
+        """How far the text agrees from different positions a and b, up to about `most`."""
+        start, above = a, most + 1
+        for size, rank in [*reversed([r for r in self.ranks if r[0] <= most]), (1, self.text)]:
+            # What a block of the level above left unmatched is shorter than that block.
+            for _ in range(max(1, (above - 1) // size)):
+                # End marks equal nothing else, so no two positions get past one.
+                ok = rank[a] == rank[b]
                 a, b = a + size * ok, b + size * ok
-        for _ in range(self.ranks[0][0]):
-            ok = (a < n) & (b < n)
-            ok[ok] = self.text[a[ok]] == self.text[b[ok]]
-            a, b = a + ok, b + ok
+            above = size
         return a - start
 
     def stream(self, patterns: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -270,7 +274,7 @@ class RunLengthIndex:
             at = ends[who] - 1 - t
             c = joined[at]
             i, p, l = row[:m], pos[:m], match[:m]
-            run = np.searchsorted(self.starts, i, "right") - 1
+            run = self.run_of[i]
             other = np.flatnonzero(self.heads[run] != c)
             if len(other):
                 near = np.searchsorted(self.head_row, c[other] * (self.n + 1) + i[other], "right")
@@ -278,8 +282,9 @@ class RunLengthIndex:
                 up_run, down_run = self.by_head[up], self.by_head[down]
                 has_up, has_down = self.heads[up_run] == c[other], self.heads[down_run] == c[other]
                 p_up, p_down = self.sample_last[up_run], self.sample_first[down_run]
-                l_up = np.where(has_up, np.minimum(l[other], self._common(p[other], p_up, length)), -1)
-                l_down = np.where(has_down, np.minimum(l[other], self._common(p[other], p_down, length)), -1)
+                common = self._common(np.concatenate([p[other], p[other]]), np.concatenate([p_up, p_down]), length)
+                l_up = np.where(has_up, np.minimum(l[other], common[: len(other)]), -1)
+                l_down = np.where(has_down, np.minimum(l[other], common[len(other) :]), -1)
                 above = l_up >= l_down
                 i[other] = np.where(above, self.lasts[up_run], self.starts[down_run])
                 p[other] = np.where(above, p_up, p_down)
@@ -305,39 +310,34 @@ def owners_of_windows(distinct: DataFrame) -> DataFrame:
     def batch(sigs, hs, owner, owners):
         return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(hs, pa.int64()), pa.array(owner, pa.int64()), pa.array(owners, pa.binary())], names=["sig", "h", "owner", "owners"])
 
+    @trimmed
     def run(batches):
-        alone, held, size, group = [], [], 0, []
+        held, size = [], 0
 
         def told():
-            strings, owners = [r[2] for r in held], np.array([r[3] for r in held])
-            found = [f[: len(s) - LENGTH + 1] for f, s in zip(RunLengthIndex(strings, owners).stream(strings), strings, strict=True)]
-            same = [bool((f == f[0]).all()) for f in found]
-            return batch([r[0] for r in held], [r[1] for r in held], [int(f[0]) if e else None for f, e in zip(found, same, strict=True)], [None if e else f.tobytes() for f, e in zip(found, same, strict=True)])
+            """Rows stand by hash, then id: the first of each hash has all its windows itself."""
+            first = [i == 0 or held[i - 1][0] != r[0] for i, r in enumerate(held)]
+            index, rest = RunLengthIndex([r[2] for r in held], np.array([r[3] for r in held])), [r for r, f in zip(held, first, strict=True) if not f]
+            found = iter(index.stream([r[2] for r in rest]) if rest else [])
+            owner, owners = [], []
+            for r, f in zip(held, first, strict=True):
+                own = None if f else next(found)[: len(r[2]) - LENGTH + 1]
+                same = f or bool((own == own[0]).all())
+                owner.append(r[3] if f else int(own[0]) if same else None)
+                owners.append(None if same else own.tobytes())
+            return batch([r[0] for r in held], [r[1] for r in held], owner, owners)
 
         for part in batches:
             for row in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
-                if group and row[0] != group[0][0]:
-                    if len(group) == 1:
-                        alone += group
-                    else:
-                        held += group
-                        size += sum(len(r[2]) for r in group)
-                    group = []
-                group.append(row)
-                if size >= BIN:
+                if size >= BIN and row[0] != held[-1][0]:
                     yield told()
                     held, size = [], 0
-            if alone:
-                yield batch([r[0] for r in alone], [r[1] for r in alone], [r[3] for r in alone], [None] * len(alone))
-                alone = []
-        if len(group) == 1:
-            yield batch([group[0][0]], [group[0][1]], [group[0][3]], [None])
-        else:
-            held += group
+                held.append(row)
+                size += len(row[2])
         if held:
             yield told()
 
-    return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, h long, owner long, owners binary")
+    return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig", "id", "h").mapInArrow(run, "sig long, h long, owner long, owners binary")
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -350,57 +350,62 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (from, to) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = rows.withColumn("sha", F.sha2("text", 256))
-    holders = told.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"))
+    # Copies have one uid, a hash that only says where to look; whether texts are equal is told by their digests. It is never 0.
+    told = rows.withColumn("sha", F.sha2("text", 256)).withColumn("n", F.octet_length("text").cast("long")).withColumn("uid", F.xxhash64("text"))
+    told = told.withColumn("uid", F.when(F.col("uid") == 0, 1).otherwise(F.col("uid")))
+    holders = told.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.first("uid").alias("uid"))
     holders = materialize(holders, "repeat-holders")
-    # A text that may hold repeats, once: of rows with its smallest id any is as good.
-    long = told.where(f"octet_length(text) >= {LENGTH} and id is not null").join(holders.select(F.col("sha").alias("s"), "first"), F.col("sha") == F.col("s")).where("id = first")
-    long = long.dropDuplicates(["sha"]).select(F.xxhash64("id", "text").alias("uid"), "id", "text")
-    long = materialize(long, "repeat-texts")
-    release(docs.sparkSession)
+    long = told.where(f"n >= {LENGTH} and id is not null").select("uid", "id", "text")
     total = int(long.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = blob_partitions(docs, total, MEET)
-    shared = shared_hashes(long.select("uid", "text"), buckets)
-    shared = materialize(shared.groupBy("uid").agg(F.collect_list("sig").alias("sigs")), "repeat-hashes")
-    release(docs.sparkSession)
+    shared = shared_hashes(long.select("uid", "text"), buckets).groupBy("uid").agg(F.collect_set("sig").alias("sigs"))
+    shared = materialize(shared.join(holders.select(F.col("uid").alias("holder"), "first"), F.col("uid") == F.col("holder")).select("uid", "first", "sigs"), "repeat-hashes")
 
+    @trimmed
     def send(batches):
         for batch in batches:
-            uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            uids, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            wanted, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             data, offsets = utf8(batch.column(2))
             for lo, hi, part, bounds in slices(data, offsets):
                 hashes, doc, starts, ends = segments(part, bounds)
-                sig, at, keep = _signature(hashes, buckets), np.searchsorted(doc, np.arange(hi - lo + 1)), []
-                for d in range(hi - lo):
-                    wanted = batch.column(3)[lo + d].values.to_numpy()
-                    keep.append(at[d] + np.flatnonzero(np.isin(sig[at[d] : at[d + 1]], wanted)))
-                keep = np.concatenate(keep)
-                raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(sig[keep]), pa.array([uids[lo + d] for d in doc[keep].tolist()], pa.int64()), pa.array([ids[lo + d] for d in doc[keep].tolist()], pa.int64()),
-                        pa.array(starts[keep] - bounds[doc[keep]]), pa.array([raw[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["sig", "uid", "id", "start", "seg"],
-                )
-
-    found = shared.withColumnRenamed("uid", "u").join(long, F.col("u") == F.col("uid")).select("uid", "id", "text", "sigs")
-    # Bytes of a segment are moved once, after equal ones are one on the map side; its occurrences go by a second hash.
-    sent = materialize(found.mapInArrow(send, "sig long, uid long, id long, start long, seg binary").withColumn("h", F.xxhash64("seg")), "repeat-segments")
-    distinct = materialize(sent.groupBy("sig", "h").agg(F.min("id").alias("id"), F.first("seg").alias("seg")), "repeat-distinct")
-    slim = materialize(sent.select("sig", "h", "uid", "id", "start", F.length("seg").alias("size")), "repeat-occurrences")
-    discard(shared, sent)
-    release(docs.sparkSession)
-
-    hot = distinct.groupBy("sig").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > bin_bytes).select(F.col("sig").alias("hot"))
-    hot = materialize(hot, "repeat-hot")
-    some_hot = not hot.isEmpty()
-    cool = distinct.join(hot, F.col("sig") == F.col("hot"), "left_anti") if some_hot else distinct
-    owners = materialize(owners_of_windows(cool), "repeat-owners").select(F.col("sig").alias("os"), F.col("h").alias("og"), "owner", "owners")
-    if not some_hot:
-        discard(distinct)
-    release(docs.sparkSession)
-
+                sig = _signature(hashes, buckets)
+                # Pairs of document and hash, mixed; what agrees by chance is sent in vain.
+                pair = lambda d, x: x.view(np.uint64) ^ d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                asked = pair(np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])), wanted[at[lo] : at[hi]])
+                keep = np.flatnonzero(np.isin(pair(doc, sig), asked))
+                sig, doc, starts, ends = sig[keep], doc[keep], starts[keep], ends[keep]
+                h = Hasher(part).spans(starts, ends)
+                order = np.lexsort((h, sig))
+                new = np.append(True, (sig[order][1:] != sig[order][:-1]) | (h[order][1:] != h[order][:-1]))[: len(order)]
+                told = np.zeros(len(order), bool)
+                told[order[new]] = True
+                sizes = np.where(told, ends - starts, 0)
+                places = np.cumsum(sizes)
+                raw = part[np.arange(int(places[-1]) if len(places) else 0) + np.repeat(starts - (places - sizes), sizes)]
+                segs = pa.Array.from_buffers(pa.binary(), len(told), [pa.py_buffer(np.packbits(told, bitorder="little")), pa.py_buffer(np.append(0, places).astype(np.int32)), pa.py_buffer(raw)])
+                out = [sig, h.view(np.int64), uids[lo + doc], ids[lo + doc], starts - bounds[doc], (ends - starts).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), segs], names=["sig", "h", "uid", "id", "start", "size", "seg"])
+
+    found = shared.withColumnRenamed("uid", "u").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "id", "text", "sigs")
+    sent = materialize(found.mapInArrow(send, "sig long, h long, uid long, id long, start long, size int, seg binary"), "repeat-segments")
+    discard(shared)
+    # Distinct segments with their smallest id; how many a hash has, and how many bytes.
+    distinct = sent.groupBy("sig", "h").agg(F.min("id").alias("least"), F.first("size").alias("bytes"))
+    counted = distinct.groupBy("sig").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).withColumnRenamed("sig", "s")
+    distinct = materialize(distinct.join(counted, F.col("sig") == F.col("s")).select("sig", "h", "least", "n", "total"), "repeat-distinct")
+    meeting = distinct.where("n > 1").select(F.col("sig").alias("os"), F.col("h").alias("oh"), "least", "total")
+    with_bytes = sent.where("seg is not null").select("sig", "h", "seg").join(meeting, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("oh")))
+    with_bytes = with_bytes.groupBy("sig", "h").agg(F.first("seg").alias("seg"), F.min("least").alias("id"), F.first("total").alias("total"))
+    some_hot = not distinct.where(F.col("total") > bin_bytes).where("n > 1").isEmpty()
+    if some_hot:
+        with_bytes = materialize(with_bytes, "repeat-bytes")
+    indexed = materialize(owners_of_windows(with_bytes.where(F.col("total") <= bin_bytes)), "repeat-owners")
+    alone = distinct.where("n = 1").select("sig", "h", F.col("least").alias("owner"), F.lit(None).cast("binary").alias("owners"))
+    owners = alone.unionByName(indexed).select(F.col("sig").alias("os"), F.col("h").alias("og"), "owner", "owners")
+    slim = sent.select("sig", "h", "uid", "id", "start", "size")
+
+    @trimmed
     def mark(batches):
         for batch in batches:
             uid, ids, start, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
@@ -417,16 +422,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = slim.join(owners, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).where("owner is null or owner < id")
     marks = joined.select("uid", "id", "start", "size", "owners").mapInArrow(mark, "uid long, from long, to long")
     # Hashes with very many distinct segments: each window on its own.
-    texts_of_hot = distinct.join(hot, F.col("sig") == F.col("hot")).select(F.col("sig").alias("os"), F.col("h").alias("og"), "seg")
+    texts_of_hot = with_bytes.where(F.col("total") > bin_bytes).select(F.col("sig").alias("os"), F.col("h").alias("og"), "seg")
     begin = F.explode(F.sequence(F.lit(1), F.length("seg") - (LENGTH - 1))).alias("b")
     windows = slim.join(texts_of_hot, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).select("uid", "id", "start", "seg", begin).select("uid", "id", (F.col("start") + F.col("b") - 1).alias("at"), F.expr(f"substring(seg, b, {LENGTH})").alias("w"))
     least = windows.groupBy("w").agg(F.min("id").alias("least")).withColumnRenamed("w", "lw")
     single = windows.join(least, F.col("w") == F.col("lw")).where("least < id").select("uid", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
     marks = marks.unionByName(single) if some_hot else marks
     spans = materialize(marks.groupBy("uid").agg(F.collect_list(F.struct("from", "to")).cast(spans_type).alias("spans")), "repeat-spans")
-    discard(slim, owners)
-    release(docs.sparkSession)
+    spans = spans.join(holders.select(F.col("uid").alias("holder"), "first"), F.col("uid") == F.col("holder"))
+    discard(sent, distinct, indexed, *([with_bytes] if some_hot else []))
 
+    @trimmed
     def cut(batches):
         for batch in batches:
             out: dict[str, list] = {"u": [], "n_removed": [], "n_spans": [], "kept": [], "spans": []}
@@ -448,10 +454,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["spans"].append([{"from": a, "to": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays([pa.array(out["u"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=list(out))
 
-    edited = spans.withColumnRenamed("uid", "u").join(long.select("uid", "text"), F.col("u") == F.col("uid")).select("uid", "text", "spans")
-    edited = materialize(edited.mapInArrow(cut, f"u long, n_removed long, n_spans long, kept string, spans {spans_type}"), "repeat-edited")
-    release(docs.sparkSession)
-    slim = told.select("id", "sha", F.octet_length("text").cast("long").alias("n"), F.xxhash64("id", "text").alias("uid"))
+    edited = spans.withColumnRenamed("uid", "u").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "text", "spans")
+    edited = materialize(edited.mapInArrow(cut, f"u long, n_removed long, n_spans long, kept string, spans {spans_type}").dropDuplicates(["u"]), "repeat-edited")
+    slim = told.select("id", "sha", "n", "uid")
     out = slim.join(holders.select(F.col("sha").alias("s"), "first"), F.col("sha") == F.col("s"), "left").join(edited, F.col("u") == F.col("uid"), "left")
     copy = F.col("id").isNotNull() & (F.col("id") > F.col("first")) & (F.col("n") >= LENGTH)
     some = F.col("id").isNotNull() & F.col("u").isNotNull()
