@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import text as T
-from tidemark.operators import ml
+from tidemark.operators import bootstrap, joins, ml, scoring
 from tidemark.plans import registry
 from tidemark.plans.views import view
+from tidemark.sources import files, paged
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["complaint_share", "weekly_spine", "spike_topics", "allocate_prop", "replacement_plan", "validate_merges", "bootstrap_ci", "centroid_assign", "stream_weekly"]
 
 
 def test_cleaning_traps():
@@ -28,6 +29,12 @@ def test_cleaning_traps():
     assert T.clean(chr(0xFF21) * 2) == "AA"
     grin = "\U0001f621"
     assert T.cap_emoji(grin * 5 + "x" + grin) == grin * 2 + "x" + grin
+    thumb, tone, flag = "\U0001f44d", "\U0001f3fd", "\U0001f1ee\U0001f1e9"
+    assert T.cap_emoji(thumb * 2 + thumb + tone) == thumb * 2 + thumb + tone  # the toned one is another
+    assert T.cap_emoji((thumb + tone) * 4 + flag * 3) == (thumb + tone) * 2 + flag * 2
+    family = chr(0x200D).join(["\U0001f468", "\U0001f469", "\U0001f467"])
+    assert T.cap_emoji(family * 3) == family * 2 and T.cap_emoji(chr(0x2B50) * 3) == chr(0x2B50) * 2
+    assert T.demojize_counted(chr(0x2B50) + grin, {chr(0x2B50): "star"}) == ("star pouting face", 2, 1)
     assert "pouting face" in T.demojize(grin)
 
 
@@ -37,6 +44,25 @@ def test_cleaning_twice_is_cleaning_once(text):
     assert T.clean(once) == once
 
 
+@given(st.lists(st.none() | st.text(alphabet="aAbB1 .\t\n" + chr(0xA0) + "\U0001f621" + chr(0xFF21) + "htpw:/", max_size=30), max_size=8))
+def test_cleaning_a_batch_is_cleaning_each(texts):
+    import pyarrow as pa
+
+    assert T.clean_batch(pa.array(texts, pa.string())) == [T.clean(t) for t in texts]
+    assert T.clean_batch(pa.array([None, "xx", *texts], pa.string()).slice(2)) == [T.clean(t) for t in texts]
+
+
+def test_scripts_and_markers(spark):
+    rows = spark.createDataFrame([(chr(0x3400),), (chr(0x985),), (chr(0x2B50),), (chr(0x231A),), ("x",), (None,)], "t string")
+    found = rows.select(T.non_latin(F.col("t")).alias("n"), T.has_emoji(F.col("t")).alias("e")).collect()
+    assert [r.n for r in found] == [True, False, False, False, False, False] and [r.e for r in found] == [False, False, True, True, False, False]
+    rule = T.language_rule(F.col("t"), {"x": ["la", "le"]}, detector=lambda t: F.lit("detected"))
+    rows = spark.createDataFrame([("la, le! sur",), ("la la la",), ("la le",), (chr(0x430) * 9,)], "t string")
+    assert [r.r for r in rows.select(rule.alias("r")).collect()] == ["x?", "detected", "too_short", "non_latin"]
+    words = spark.createDataFrame([("lagi",), ("a Lag.",), ("lagé",), (None,)], "t string").select(T.whole_word(F.col("t"), ["lag"]).alias("w"))
+    assert [r.w for r in words.collect()] == [False, True, False, False]
+
+
 def test_counts_of_blank_texts(spark):
     rows = spark.createDataFrame([("",), (None,), ("   ",), ("a b",), ("a" + chr(0x2003) + "b c",)], "t string")
     assert [r.n for r in rows.select(T.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 0, 2, 3]
@@ -55,38 +81,39 @@ def test_intervals(spark):
     assert math.isclose(rows[1].lo, 0.2366, abs_tol=1e-4)
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for file in os.listdir(SF):
         db.sql(f"create view {file.split('.')[0]} as select * from read_parquet('{SF}/{file}')")
     ours, theirs = registry.QUERIES[name](spark, SF).toPandas(), db.sql(registry.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
-    key = lambda df: sorted(tuple(str(None if v != v else round(float(v), 9) if isinstance(v, int | float) else v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    missing = lambda v: v is None or v is pd.NA or v is pd.NaT or v != v
+    key = lambda df: sorted(tuple(str(None if missing(v) else round(float(v), 9) if isinstance(v, int | float) else v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert key(ours) == key(theirs)
 
 
-def test_bootstrap_takes_all_rows_2000_times(spark):
-    """Whole rows drawn with replacement within each app, one by one."""
-    labeled = view(spark, SF, "labeled").select("review_id", "app", "gold", "pred_label").toPandas()
-    drawn = {}
-    for app, rows in labeled.groupby("app"):
-        y, p = (rows.gold == "negative").to_numpy(), (rows.pred_label == "negative").to_numpy()
-        order = np.lexsort((~p, ~y))
-        n, ids = len(rows), rows.review_id.tolist()
-        picks = (int(hashlib.md5(f"9:{rep}:{app}:{i}".encode()).hexdigest()[:12], 16) % n for rep in range(2000) for i in ids)
-        picked = order[np.fromiter(picks, np.int64, 2000 * n).reshape(2000, n)]
-        drawn[app] = y[picked], p[picked]
+def test_bootstrap_draws_as_rows_would(spark):
+    """Cell counts drawn per replicate against whole rows drawn with replacement within each app."""
+    cells = {r.app: np.array([r.yp, r.yn, r.np, r.nn]) for r in bootstrap.cell_counts(view(spark, SF, "labeled")).collect()}
+    assert sum(c.sum() for c in cells.values()) == view(spark, SF, "labeled").count()
+    assert all((bootstrap.draw(app, 3, c) == bootstrap.draw(app, 3, c)).all() and bootstrap.draw(app, 3, c).sum() == c.sum() for app, c in cells.items())
+    rng, drawn = np.random.default_rng(1), {}
+    for app, c in cells.items():
+        rows = np.repeat(np.arange(4), c)
+        drawn[app] = np.array([np.bincount(rng.choice(rows, len(rows)), minlength=4) for _ in range(2000)])
 
-    def diffs(y, p):
-        return (y & p).sum(axis=1) / y.sum(axis=1) - (~y & p).sum(axis=1) / (~y).sum(axis=1)
+    def diffs(x):
+        return x[:, 0] / (x[:, 0] + x[:, 1]) - x[:, 2] / (x[:, 2] + x[:, 3])
 
-    everything = diffs(*(np.concatenate(part, axis=1) for part in zip(*drawn.values(), strict=True)))
+    everything = diffs(sum(drawn.values()))
     ci, above = (registry.QUERIES[name](spark, SF).first() for name in ("bootstrap_ci", "boot_prob"))
-    assert np.allclose([ci.lo, ci.hi], np.percentile(everything, [2.5, 97.5]), atol=1e-12) and above.above == (everything > 0).mean()
-    found = {r.app: [r.lo, r.hi] for r in registry.QUERIES["bootstrap_app"](spark, SF).collect()}
-    assert found.keys() == drawn.keys()
-    assert all(np.allclose(found[app], np.percentile(diffs(*drawn[app]), [2.5, 97.5]), atol=1e-12) for app in drawn)
+    assert np.allclose([ci.lo, ci.hi], np.percentile(everything, [2.5, 97.5]), atol=6 * everything.std() / np.sqrt(2000 * 0.05)) and above.above == (everything > 0).mean()
+    for r in registry.QUERIES["bootstrap_app"](spark, SF).collect():
+        own = diffs(drawn[r.app])
+        assert np.allclose([r.lo, r.hi], np.percentile(own, [2.5, 97.5]), atol=6 * own.std() / np.sqrt(2000 * 0.05))
+    chosen = {r.app: r.frequency for r in registry.QUERIES["boot_selected"](spark, SF).collect()}
+    assert math.isclose(sum(chosen.values()), 1.0)
 
 
 def ranked_strata(spark):
@@ -126,3 +153,83 @@ def test_text_model_has_all_terms_and_the_whole_grid(spark):
     scored = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 1.0)], "label double, prediction double")
     assert math.isclose(ml.macro_f1(scored), (2 / 3 + 1 / 2 + 0) / 3)
     assert len(ml.MIN_DF) * len(ml.C) == 15
+
+
+def test_neutral_words(spark):
+    apply, _ = T.neutralizer([("gopay|dana", "app"), ("s(?:h)?opee ?pay(?:later)?|spay", "app"), ("ovo", "app")])
+    texts = ["GoPay error", "gopaynya", "ShopeePay PayLater", "spay", "dana saya hilang", "OVOnya", "danau"]
+    found = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(apply(F.col("t")).alias("t")).collect()]
+    assert found == ["app error", "appnya", "app PayLater", "app", "app saya hilang", "appnya", "danau"]
+
+
+def test_allocation():
+    assert joins.allocate({"a": 5, "b": 3}, 9, "equal") == {"a": 5, "b": 3}
+    assert joins.allocate({"a": 100, "b": 2, "c": 50}, 30, "equal") == {"a": 14, "b": 2, "c": 14}
+    assert joins.allocate({"a": 50, "b": 30, "c": 20}, 7, "proportional") == {"a": 4, "b": 2, "c": 1}
+    for total in range(1, 40):
+        for mode in ("equal", "proportional"):
+            given_ = joins.allocate({"a": 1, "b": 9, "c": 30}, total, mode)
+            assert sum(given_.values()) == total and all(given_[k] <= n for k, n in {"a": 1, "b": 9, "c": 30}.items())
+
+
+def test_contracts_stop(spark, tmp_path):
+    one, twice = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), spark.createDataFrame([(1, "c"), (1, "d")], "k long, y string")
+    with pytest.raises(files.ContractError, match="occurs 2 times"):
+        joins.validated_join(one, twice, "k")
+    with pytest.raises(files.ContractError, match="no k"):
+        joins.validated_join(one, twice.limit(1), "k", cover=True)
+    assert joins.validated_join(one, twice, "k", "left", unique=("left",)).count() == 3
+    home = f"file://{tmp_path}"
+    files.write_new(one, f"{home}/t")
+    with pytest.raises(files.ContractError, match="there already"):
+        files.write_new(one, f"{home}/t")
+    assert files.replace_table(one.limit(1), f"{home}/t").count() == 1 and not [p for p in os.listdir(tmp_path) if p.endswith((".part", ".old"))]
+    with pytest.raises(Exception, match="no way"):
+        files.replace_table(one.select(F.raise_error(F.lit("no way")).cast("string").alias("k")), f"{home}/t")
+    assert spark.read.parquet(f"{home}/t").count() == 1  # a failed write leaves what was there
+    files.write_sheet(one, f"{home}/s")
+    with pytest.raises(files.ContractError, match="lacks"):
+        files.read_sheet(spark, f"{home}/s", ["k", "label"])
+    with pytest.raises(files.ContractError, match="too"):
+        files.read_sheet(spark, f"{home}/s", ["k"])
+    files.write_report(spark, f"{home}/c.yaml", {"a": 1})
+    with pytest.raises(files.ContractError, match="lacks"):
+        files.read_config(spark, f"{home}/c.yaml", ("a", "b"))
+
+
+def test_paged_ingest_goes_on(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"2024-01-{1 + i % 9:02d} 00:00:00") for i in [*range(40), 7, 7]], "id long, t string").selectExpr("id", "cast(t as timestamp) as t")
+    reader, home = paged.PagedReader(rows, "id", "t", 6), f"file://{tmp_path}/i"
+    assert paged.Ingest(spark, reader, home).run(max_pages=2) is None
+    spark.range(3).selectExpr("id", "current_timestamp() as t").write.parquet(f"{home}/part-000002")  # an orphan
+    assert paged.Ingest(spark, reader, home).run() == "exhausted"
+    found = [r.id for r in paged.Ingest(spark, reader, home).rows().collect()]
+    assert sorted(found) == list(range(40))
+    with pytest.raises(files.ContractError, match="begun with"):
+        paged.Ingest(spark, reader, home, cap=3).run()
+    capped = paged.Ingest(spark, reader, f"{home}c", since="2024-01-02", cap=10)
+    assert capped.run() == "cap" and capped.rows().count() == 10
+    old = paged.Ingest(spark, reader, f"{home}s", since="2024-01-08")
+    assert old.run() == "since" and {r.id % 9 for r in old.rows().collect()} == {7, 8}
+    assert paged.Ingest(spark, paged.PagedReader(rows.limit(0), "id", "t", 6), f"{home}e").run() == "exhausted"
+    waits, asked = [], []
+
+    def flaky():
+        asked.append(1)
+        if len(asked) < 4:
+            raise OSError("busy")
+        return 5
+
+    assert paged.with_retries(flaky, base=1, most=3, sleep=waits.append) == 5 and waits == [1, 2, 3]
+
+
+def test_scoring(spark):
+    scorer = scoring.keyword_scorer()
+    p = scorer.probabilities(["an error", "view", "", "error view purchase"])
+    assert np.allclose(p.sum(axis=1), 1) and p.argmax(axis=1).tolist() == [0, 1, 0, 0] and scorer.probabilities([]).shape == (0, 3)
+    rows = spark.createDataFrame([(1, "view"), (2, None), (3, "view"), (4, "")], "id long, t string")
+    found = {r.id: r.pred_label for r in scoring.score_distinct(rows, "t", scoring.keyword_scorer, scoring.LABELS, batch=1).collect()}
+    assert found == {1: "neutral", 2: "negative", 3: "neutral", 4: "negative"}
+    assert scoring.score_distinct(rows.limit(0), "t", scoring.keyword_scorer, scoring.LABELS).count() == 0
+    assert scoring.analyze_one(spark, "error again", 5, 3) == {"id": 0, "text_clean": "error again", "pred_label": "negative", "complaint": True, "flagged_by": "model", "topic": 3, "note": "topic"}
+    assert scoring.analyze_one(spark, "view", 1)["note"] == "stars only" and scoring.analyze_one(spark, "error", None)["note"] == "too short" and scoring.analyze_one(spark, None, 5)["complaint"]

@@ -34,12 +34,6 @@ def newcombe(k1: Column, n1: Column, k2: Column, n2: Column, ci: float = 0.95) -
     return d - F.sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2)), d + F.sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2))
 
 
-def f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
-    """Precision, recall and F1, 0 where undefined."""
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return zero(rate(tp, tp + fp)), zero(rate(tp, tp + fn)), zero(rate(2 * tp, 2 * tp + fp + fn))
-
-
 _Z = "1.959963984540054e0"
 
 

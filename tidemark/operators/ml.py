@@ -6,15 +6,18 @@ the engine has no twin of; results differ from those by design.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, IDF, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import PCA, PCAModel, CountVectorizer, IDF, NGram, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.storage import materialize, new_path
 from tidemark.plans.views import view
 
 
@@ -82,35 +85,62 @@ def macro_f1(scored: DataFrame) -> float:
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = view(spark, sf_dir, "docs").select("review_id", "app", "content")
+    docs = view(spark, sf_dir, "texts").select("review_id", "app", "content")
     counts = docs.groupBy("app").agg(F.count("*").alias("n"))
     total = docs.count()
     k = counts.count()
     return docs.join(counts, "app").withColumn("weight", F.lit(float(total)) / (F.lit(float(k)) * F.col("n")))
 
 
+#: Rows of one task while a model is fitted: small tables are not dealt to many tasks, whose start would take longer than their work.
+ROWS_A_TASK, FITS_AT_ONCE = 20_000, 5
+
+
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    data = _terms(StringIndexer(inputCol="app", outputCol="label", stringOrderType="alphabetAsc").fit(w := _weighted(spark, sf_dir)).transform(w)).localCheckpoint()
+    data = materialize(_terms(StringIndexer(inputCol="app", outputCol="label", stringOrderType="alphabetAsc").fit(w := _weighted(spark, sf_dir)).transform(w)), "ml-terms")
     return data.where("review_id % 5 <> 0"), data.where("review_id % 5 = 0")
 
 
+def _features(features: TextFeatures, data: DataFrame) -> DataFrame:
+    """Vectors, written once: neither the regression's passes nor the next model compute them again."""
+    rows = materialize(features.transform(data).select("review_id", "label", "weight", "features"), "ml-features")
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK))).persist()
+
+
 def logreg_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, held_out = _split(spark, sf_dir)
     features = TextFeatures(train, MIN_DF[0])
-    rows = features.transform(train).select("label", "weight", "features").persist()  # the regression's checks of its input can't evaluate a Python function
+    rows = _features(features, train)
     model = fit(rows, C[0])
     rows.unpersist()
     return model.transform(features.transform(held_out)).select("review_id", "label", "prediction")
 
 
+def top_features(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+    """label, sign, place, feature, coefficient: the terms that speak most for and against each label."""
+    train, _ = _split(spark, sf_dir)
+    features = TextFeatures(train, MIN_DF[0])
+    rows = _features(features, train)
+    coefficients = fit(rows, C[0]).coefficientMatrix.toArray()  # a row a label
+    rows.unpersist()
+    names = [f"{part}__{term}" for part, counter, _ in features.parts for term in counter.vocabulary]
+    out = []
+    for label, own in enumerate(coefficients):
+        order = np.argsort(own, kind="stable")
+        for sign, best in (("positive", order[::-1][:n]), ("negative", order[:n])):
+            out += [(label, sign, place, names[i], float(own[i])) for place, i in enumerate(best, 1)]
+    return spark.createDataFrame(out, "label int, sign string, place int, feature string, coefficient double")
+
+
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro-F1 on held-out rows for each grid point, and the best; of equal ones the first stays best."""
+    """Macro-F1 on held-out rows for each grid point, and the best; of equal ones the first stays best. Some fits run side by side."""
     train, held_out = _split(spark, sf_dir)
     rows: list[tuple[float, float, float]] = []
     for min_df in MIN_DF:
         features = TextFeatures(train, min_df)
-        ours, theirs = (features.transform(d).select("label", "weight", "features").persist() for d in (train, held_out))
-        rows += [(min_df, c, macro_f1(fit(ours, c).transform(theirs))) for c in C]
+        ours, theirs = _features(features, train), _features(features, held_out)
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            rows += pool.map(lambda c: (min_df, c, macro_f1(fit(ours, c).transform(theirs))), C, chunksize=1)  # noqa: B023
         ours.unpersist(), theirs.unpersist()
     best = 0
     for i, (_, _, f1) in enumerate(rows):
@@ -127,15 +157,44 @@ def reduce_pca(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return PCA(k=k, inputCol="v", outputCol="r").fit(data).transform(data).select("review_id", vector_to_array("r").alias("reduced"))
 
 
-def cluster_fit(spark: SparkSession, sf_dir: str, k: int = 10, cut: float = 0.9) -> DataFrame:
-    """Cluster of each vector; the farthest tenth of all are outliers, -1."""
-    data = _vectors(spark, sf_dir)
+def cluster(data: DataFrame, k: int, cut: float, least: int) -> DataFrame:
+    """review_id, cluster: the farthest rows (beyond quantile `cut` of distances, from a sketch) and clusters of fewer than `least` rows are outliers, -1."""
     model = KMeans(k=k, seed=1, featuresCol="v", predictionCol="cluster").fit(data)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, c array<double>")  # k rows
+    centres = data.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, c array<double>")  # k rows
     far = F.aggregate(F.zip_with(vector_to_array("v"), F.col("c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    placed = model.transform(data).join(F.broadcast(centres), "cluster").withColumn("far", far)
-    limit = placed.agg(F.percentile("far", F.lit(cut)).alias("edge"))
-    return placed.crossJoin(F.broadcast(limit)).select("review_id", F.when(F.col("far") > F.col("edge"), -1).otherwise(F.col("cluster")).alias("cluster"))
+    placed = materialize(model.transform(data).join(F.broadcast(centres), "cluster").select("review_id", "cluster", far.alias("far")), "clusters")
+    limit = placed.agg(F.percentile_approx("far", F.lit(cut), F.lit(10_000)).alias("edge")).first().edge
+    near = placed.select("review_id", F.when(F.col("far") > F.lit(limit), -1).otherwise(F.col("cluster")).alias("cluster"))
+    small = near.where("cluster <> -1").groupBy("cluster").count().where(F.col("count") < least).select(F.col("cluster").alias("small"))  # at most k rows
+    return near.join(F.broadcast(small), F.col("cluster") == F.col("small"), "left").select("review_id", F.when(F.col("small").isNotNull(), -1).otherwise(F.col("cluster")).alias("cluster"))
+
+
+LEAST_SIZE, CANDIDATES, TARGET = 5, (4, 6, 8, 10, 12, 16), 9
+
+
+def cluster_fit(spark: SparkSession, sf_dir: str, k: int = 10, cut: float = 0.9) -> DataFrame:
+    """Cluster of each vector; about the farthest tenth of all are outliers, -1."""
+    return cluster(_vectors(spark, sf_dir), k, cut, LEAST_SIZE)
+
+
+def cluster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate's number of clusters, outlier share, largest share and smallest size; chosen is the one nearest to the target, of equal ones the coarsest."""
+    data = materialize(_vectors(spark, sf_dir), "vectors")
+    n, rows = data.count(), []
+    for k in CANDIDATES:
+        sizes = {r.cluster: r["count"] for r in cluster(data, k, 0.9, LEAST_SIZE).groupBy("cluster").count().collect()}  # a row a cluster
+        named = [size for c, size in sizes.items() if c != -1]
+        rows.append((k, len(named), sizes.get(-1, 0) / n if n else None, max(named, default=0) / n if n else None, min(named, default=0)))
+    best = min(range(len(rows)), key=lambda i: (abs(rows[i][1] - TARGET), rows[i][0]))
+    return spark.createDataFrame([(*row, i == best) for i, row in enumerate(rows)], "k int, n_topics int, outlier_share double, largest_share double, smallest int, chosen boolean")
+
+
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted reduction, saved and loaded, gives what it gave."""
+    data = _vectors(spark, sf_dir)
+    path = new_path(spark, "model")
+    PCA(k=5, inputCol="v", outputCol="r").fit(data).write().overwrite().save(path)
+    return PCAModel.load(path).transform(data).select("review_id", vector_to_array("r").alias("reduced"))
 
 
-QUERIES = {f.__name__: f for f in (logreg_pred, tune_grid, reduce_pca, cluster_fit)}
+QUERIES = {f.__name__: f for f in (logreg_pred, top_features, tune_grid, reduce_pca, cluster_fit, cluster_grid, model_roundtrip)}

@@ -1,8 +1,9 @@
 """All queries of the library by name, and their SQL."""
 
-from tidemark.operators import ml, text_queries
-from tidemark.plans import catalog
+from tidemark.operators import bootstrap, joins, ml, scoring, text_queries, topics
+from tidemark.plans import catalog, spikes
+from tidemark.sources import queries as sources
 from tidemark.streaming import weekly
 
-QUERIES = {**catalog.QUERIES, **text_queries.QUERIES, **ml.QUERIES, **weekly.QUERIES}
-ORACLES = {**catalog.ORACLES, **text_queries.ORACLES, **weekly.ORACLES}
+QUERIES = {**catalog.QUERIES, **spikes.QUERIES, **text_queries.QUERIES, **joins.QUERIES, **scoring.QUERIES, **topics.QUERIES, **bootstrap.QUERIES, **ml.QUERIES, **sources.QUERIES, **weekly.QUERIES}
+ORACLES = {**catalog.ORACLES, **spikes.ORACLES, **text_queries.ORACLES, **joins.ORACLES, **scoring.ORACLES, **topics.ORACLES, **sources.ORACLES, **weekly.ORACLES}

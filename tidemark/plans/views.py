@@ -29,10 +29,14 @@ DOCS = """
 SELECT documents.doc_id AS review_id, lang AS app, source, text AS content, n_chars, quality, toxic
 FROM {documents} AS documents LEFT JOIN {labels} AS labels ON documents.doc_id = labels.doc_id
 """
+#: The same without labels, for what doesn't read them.
+TEXTS = """
+SELECT doc_id AS review_id, lang AS app, source, text AS content, n_chars FROM {documents}
+"""
 VECTORS = """
 SELECT vec_id AS review_id, embedding, CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS topic FROM {embeddings}
 """
-ALL = {"reviews": REVIEWS, "labeled": LABELED, "docs": DOCS, "vectors": VECTORS}
+ALL = {"reviews": REVIEWS, "labeled": LABELED, "docs": DOCS, "texts": TEXTS, "vectors": VECTORS}
 JSON = {"spark": "get_json_object(props, '$.k')", "duck": "json_extract_string(props, '$.k')"}
 
 

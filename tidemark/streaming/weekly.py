@@ -1,31 +1,24 @@
-"""The weekly share as a stream, and paged ingest with deduplication."""
+"""The weekly share as a stream."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _home(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+from tidemark.plans.storage import is_file, new_path
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isFile():
+    if is_file(spark, path):
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a folder or a pattern
     return spark.readStream.schema(schema).parquet(path)
 
 
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by app and Monday week: equal to the batch aggregation once all input is read."""
-    home = _home(spark)
+    home = new_path(spark, "stream")
     events = _source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     weekly = events.groupBy(F.window("ts", "7 days", "7 days", "4 days").alias("w"), F.concat(F.lit("app"), F.col("user_id") % 4).alias("app")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
@@ -37,16 +30,7 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("app", F.date_format("w.start", "yyyy-MM-dd").alias("week"), "n", "errors")
 
 
-def paged_ingest(spark: SparkSession, sf_dir: str, since: str = "2024-01-08") -> DataFrame:
-    """New events since a date, each id once; the checkpoint remembers ids and offsets across runs."""
-    home = _home(spark)
-    rows = _source(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").where(F.col("ts").isNull() | (F.col("ts") >= F.lit(since).cast("timestamp")))
-    rows.dropDuplicates(["event_id"]).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{home}/out").select("event_id", "event_type")
-
-
-QUERIES = {"stream_weekly": stream_weekly, "paged_ingest": paged_ingest}
+QUERIES = {"stream_weekly": stream_weekly}
 ORACLES = {
     "stream_weekly": "SELECT 'app' || CAST(user_id % 4 AS STRING) AS app, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1, 2",
-    "paged_ingest": "SELECT DISTINCT event_id, event_type FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-08 00:00:00'",
 }
