@@ -31,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import RUNS, WORDS, Hasher, slices, utf8
-from tidemark.llm.shared import new_path, remove
+from tidemark.llm.shared import WRITING, new_path, remove, settings, trimmed
 
 MAGIC, VERSION = b"TMSSTBL1", 1
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -59,21 +60,59 @@ _MAYBE_WIDE = np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])  # lead bytes of most
 _SPACE = WORDS == 0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+#: Bytes of text whose pieces are looked up together.
+_AT_A_TIME = 2 << 20
 _MARK = (RUNS == 3) & (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
 
 
+def _pick(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of runs that begin at `at`, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - sizes), sizes)
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as one word; zeros follow the data."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(9, np.uint8)), strides=(1,))
+
+
+def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether runs of bytes are the same; a and b are `_words`."""
+    same = a_size == b_size
+    live, step = np.flatnonzero(same), 0
+    while len(live):
+        left = a_size[live] - step
+        equal = (a[a_at[live] + step] ^ b[b_at[live] + step]) & _MASKS[np.minimum(left, 8)] == 0
+        same[live[~equal]] = False
+        live, step = live[equal & (left > 8)], step + 8
+        if step > 4096:  # very long ones, each at a time
+            for i in live.tolist():
+                at = np.arange(step, int(a_size[i]) - 7, 8)
+                last = int(a_size[i]) - 8
+                same[i] = (a[a_at[i] + at] == b[b_at[i] + at]).all() and a[a_at[i] + last] == b[b_at[i] + last]
+            break
+    return same
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, remembering pieces.
 
     The vocabulary's pre-tokenizer always ends a token between a character that
     is not white space and white space, and between an ASCII letter and an ASCII
     mark; so a text cut there has the ids of its pieces, in a row. Each new piece
-    is encoded by the library once. Added tokens are found before the
-    pre-tokenizer cuts, so a text that contains one is given to the library as a
-    whole, as those with wide blanks are.
+    is encoded by the library once; pieces are equal if their bytes are. Added
+    tokens are found before the pre-tokenizer cuts, so a text that contains one
+    is given to the library as a whole, as those with wide blanks are.
     """
 
-    MOST = 1_500_000  # pieces remembered; beyond that, memory starts anew
+    #: Pieces remembered, and bytes of them; beyond either, those that were met again since stay. A longer piece isn't remembered.
+    MOST, MOST_BYTES, LONGEST = 1 << 20, 12 << 20, 64
+    #: Pieces given to the library as one text, where they may stand side by side, and texts given to it at once.
+    TOGETHER, AT_ONCE = 512, 64
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -82,21 +121,63 @@ class PieceEncoder:
         with open(file, encoding="utf-8") as f:
             added = [t["content"].encode() for t in json.load(f).get("added_tokens") or [] if t["content"]]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token, one a character in byte-level vocabularies
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.where, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > self.MOST:
-            self.forget()
-        encoded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        where = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))])
+        """Memory of pieces, by ascending hash: where their bytes and ids are, how many, and whether they were met again."""
+        self.hashes, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.byte_at, self.n_bytes, self.id_at, self.n_ids = (np.zeros(0, np.int32) for _ in range(4))
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+
+    def _ask(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces in a row, and how many each has."""
+        raw, out = data.tobytes(), [np.zeros(0, np.int32)] * len(begin)
+
+        def alone(which: list[int]) -> None:
+            texts = [raw[begin[i] : begin[i] + size[i]].decode() for i in which]
+            for i, e in zip(which, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.int32)
+
+        # Pieces from white space to a character that is none keep their bounds side by side.
+        joins = _SPACE[data[begin]] & ~_SPACE[data[begin + size - 1]]
+        rest, beside = np.flatnonzero(~joins).tolist(), np.flatnonzero(joins)
+        groups = [beside[i : i + self.TOGETHER] for i in range(0, len(beside), self.TOGETHER)]
+        for i in range(0, len(groups), self.AT_ONCE):
+            some = groups[i : i + self.AT_ONCE]
+            texts = [data[_pick(begin[g], size[g])].tobytes().decode() for g in some]
+            for g, e in zip(some, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids, ends = np.array(e.ids, np.int32), np.cumsum(size[g])
+                at = np.cumsum(self.lengths[ids])
+                place = np.minimum(np.searchsorted(at, ends), len(at) - 1)
+                if at[-1] == ends[-1] and (at[place] == ends).all():  # each piece ends where a token does
+                    for piece, own in zip(g.tolist(), np.split(ids, place[:-1] + 1), strict=True):
+                        out[piece] = own
+                else:
+                    rest += g.tolist()
+        for i in range(0, len(rest), 4096):
+            alone(rest[i : i + 4096])
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.fromiter(map(len, out), np.int32, len(out))
+
+    def _remember(self, hashes: np.ndarray, text: np.ndarray, n_bytes: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        """Pieces with ascending hashes, none of them known."""
+        if len(self.hashes) + len(hashes) > self.MOST or len(self.bytes) + len(text) > self.MOST_BYTES:
+            stay = np.flatnonzero(self.again) if len(hashes) <= self.MOST // 2 else np.zeros(0, np.int64)
+            self.bytes, self.ids = self.bytes[_pick(self.byte_at[stay], self.n_bytes[stay])], self.ids[_pick(self.id_at[stay], self.n_ids[stay])]
+            self.hashes, self.n_bytes, self.n_ids = self.hashes[stay], self.n_bytes[stay], self.n_ids[stay]
+            self.byte_at, self.id_at = (np.cumsum(n, dtype=np.int32) - n for n in (self.n_bytes, self.n_ids))
+            self.again = np.zeros(len(stay), bool)
+            if len(stay) + len(hashes) > self.MOST:
+                return self.forget()
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.where, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.where, at, where), np.insert(self.sizes, at, sizes)
+        byte_at, id_at = len(self.bytes) + np.cumsum(n_bytes) - n_bytes, len(self.ids) + np.cumsum(n_ids) - n_ids
+        self.bytes, self.ids = np.append(self.bytes, text), np.append(self.ids, ids)
+        self.hashes, self.again = np.insert(self.hashes, at, hashes), np.insert(self.again, at, False)
+        self.byte_at, self.n_bytes = np.insert(self.byte_at, at, byte_at), np.insert(self.n_bytes, at, n_bytes)
+        self.id_at, self.n_ids = np.insert(self.id_at, at, id_at), np.insert(self.n_ids, at, n_ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents in a row, and the offsets of documents in them."""
@@ -109,30 +190,39 @@ class PieceEncoder:
         cut[1:n] = (space[1:] & ~space[:-1]) | (letter[:-1] & _MARK[data[1:]])
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        starts, ends = edges[:-1], edges[1:]
-        hashes = Hasher(data).spans(starts, ends)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        while True:
-            at = np.searchsorted(self.hashes, unique)
-            known = np.zeros(len(unique), dtype=bool)
-            inside = at < len(self.hashes)
-            known[inside] = self.hashes[at[inside]] == unique[inside]
-            if known.all():
-                break
-            raw, new = data.tobytes(), np.flatnonzero(~known)
-            if len(self.hashes) + len(new) > self.MOST:  # what is known goes too, and must come back
-                new = np.arange(len(unique))
-            self._learn(unique[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        sizes, where = self.sizes[at][which], self.where[at][which]
-        ends_out = np.cumsum(sizes)
-        take = np.arange(int(ends_out[-1])) + np.repeat(where - (ends_out - sizes), sizes)
-        bounds = np.concatenate([[0], ends_out])[np.searchsorted(starts, offsets)]
-        return self.ids[take], bounds
+        starts, lengths = edges[:-1], np.diff(edges)
+        hashes, first, which = np.unique(Hasher(data).spans(starts, edges[1:]), return_index=True, return_inverse=True)
+        # Hashes only suggest which pieces are equal; one whose bytes differ from the first with its hash stands for itself.
+        words = _words(data)
+        odd = np.flatnonzero(~_equal(words, starts[first][which], lengths[first][which], words, starts, lengths))
+        which[odd], first = len(first) + np.arange(len(odd)), np.append(first, odd)
+        begin, size = starts[first], lengths[first]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = np.zeros(len(first), bool)
+        if len(self.hashes):
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            hit = hit[_equal(_words(self.bytes), self.byte_at[at[hit]], self.n_bytes[at[hit]], words, begin[hit], size[hit])]
+            known[hit], self.again[at[hit]] = True, True
+        new = np.flatnonzero(~known)
+        asked, n_asked = self._ask(data, begin[new], size[new])
+        # Ids of this slice's pieces: remembered ones, then those asked for.
+        old = at[np.flatnonzero(known)]
+        ids, n_ids = np.append(self.ids[_pick(self.id_at[old], self.n_ids[old])], asked), np.empty(len(first), np.int64)
+        n_ids[known], n_ids[new] = self.n_ids[old], n_asked
+        id_at, order = np.empty(len(first), np.int64), np.append(np.flatnonzero(known), new)
+        id_at[order] = np.cumsum(n_ids[order]) - n_ids[order]
+        # A hash that is known for other bytes isn't learnt again.
+        learn = new[(new < len(hashes)) & (size[new] <= self.LONGEST)]
+        if len(self.hashes):
+            learn = learn[self.hashes[at[learn]] != hashes[learn]]
+        self._remember(hashes[learn], data[_pick(begin[learn], size[learn])], size[learn], ids[_pick(id_at[learn], n_ids[learn])], n_ids[learn])
+        bounds = np.concatenate([[0], np.cumsum(n_ids[which])])[np.searchsorted(starts, offsets)]
+        return ids[_pick(id_at[which], n_ids[which])], bounds
 
     def encode_texts(self, texts: pa.Array):
         """The ids of each text, in order."""
         data, offsets = utf8(texts)
-        for lo, _, part, bounds in slices(data, offsets):
+        for lo, _, part, bounds in slices(data, offsets, _AT_A_TIME):
             ids, at = self.encode(part, bounds)
             wide = _MAYBE_WIDE[part].any() or ((part[:-1] == 0xC2) & ((part[1:] == 0x85) | (part[1:] == 0xA0))).any()
             added = self.added is not None and self.added.search(part)
@@ -149,7 +239,7 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(file: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; its memory outlives tasks."""
+    """The worker's encoder for a vocabulary file. The library outlives a task; pieces are forgotten at its end."""
     if file not in _encoders:
         _encoders[file] = PieceEncoder(file)
     return _encoders[file]
@@ -256,32 +346,39 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a shard given as bytes."""
+    """Reads a shard, given as bytes or as an open file: footer, index and filter at first, then the blocks asked for."""
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
-        self.index_at, self.bloom_at, self.entries, self.tokens, self.sum, version, magic = FOOTER.unpack(raw[-FOOTER.size :])
+    def __init__(self, source):
+        self.source, self.size = source, len(source) if isinstance(source, bytes) else source.size()
+        footer = self._get(self.size - FOOTER.size, FOOTER.size)
+        self.index_at, self.bloom_at, self.entries, self.tokens, self.sum, version, magic = FOOTER.unpack(footer)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of this format")
-        self.firsts, self.blocks = [], []
-        at = self.index_at
-        while at < self.bloom_at:
-            (n,) = struct.unpack_from("<H", raw, at)
-            self.firsts.append(bytes(raw[at + 2 : at + 2 + n]))
-            self.blocks.append(struct.unpack_from("<QII", raw, at + 2 + n))
+        tail = self._get(self.index_at, self.size - FOOTER.size - self.index_at)
+        self.firsts, self.blocks, at, end = [], [], 0, self.bloom_at - self.index_at
+        while at < end:
+            (n,) = struct.unpack_from("<H", tail, at)
+            self.firsts.append(bytes(tail[at + 2 : at + 2 + n]))
+            self.blocks.append(struct.unpack_from("<QII", tail, at + 2 + n))
             at += 2 + n + 16
-        self.hashes, size = struct.unpack_from("<BI", raw, self.bloom_at)
-        self.bloom = raw[self.bloom_at + 5 : self.bloom_at + 5 + size]
+        self.hashes, size = struct.unpack_from("<BI", tail, end)
+        self.bloom = tail[end + 5 : end + 5 + size]
         self.unzip = zstandard.ZstdDecompressor()
 
+    def _get(self, offset: int, size: int) -> bytes:
+        if isinstance(self.source, bytes):
+            return self.source[offset : offset + size]
+        self.source.seek(offset)
+        return self.source.read(size)
+
     def verify(self) -> None:
-        if xxhash.xxh64(self.raw[: -FOOTER.size]).intdigest() != self.sum:
+        if xxhash.xxh64(self._get(0, self.size - FOOTER.size)).intdigest() != self.sum:
             raise ValueError("the shard is damaged")
 
     def block(self, i: int):
         """(key, ids) of a block."""
         offset, size, n = self.blocks[i]
-        data, at, key = self.unzip.decompress(self.raw[offset : offset + size]), 0, b""
+        data, at, key = self.unzip.decompress(self._get(offset, size)), 0, b""
         for _ in range(n):
             shared, at = _read_varint(data, at)
             rest, at = _read_varint(data, at)
@@ -300,7 +397,7 @@ class ShardReader:
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """The ids of all entries of a key: Bloom filter, binary search of the index, then the blocks that may have it."""
-        if not self.may_contain(key):
+        if not self.firsts or key < self.firsts[0] or not self.may_contain(key):
             return []
         i, found = max(0, bisect.bisect_left(self.firsts, key) - 1), []
         while i < len(self.firsts) and self.firsts[i] <= key:
@@ -327,10 +424,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str
     ranged = rows.repartitionByRange(max(1, -(-total // shard_bytes)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "content")
     ranged = ranged.withColumn("shard", F.spark_partition_id())
 
+    @trimmed
     def write(batches):
+        coder, out, writer = encoder(tokenizer_file), None, None
+        try:
+            yield from put(batches, coder, out, writer)
+        finally:
+            coder.forget()
+
+    def put(batches, coder, out, writer):
         import posixpath
 
-        coder, out, writer = encoder(tokenizer_file), None, None
         end = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
         fs, base = _open_out(folder)
         for batch in batches:
@@ -358,6 +462,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, doc_id, at, n_tokens, ids_crc32, ids): every entry of every shard; `at` counts the shard's ids before it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select(F.regexp_extract("path", r"(\d+)\.sst$", 1).cast("int").alias("shard"), "content")
 
+    @trimmed
     def read(batches):
         for batch in batches:
             for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -379,18 +484,21 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of a few documents, by Bloom filter and binary search in each shard."""
+    """The ids of a few documents: of each shard only the footer, filter and index are read, and the blocks that may have a key."""
     wanted = [key_of(i) for i in doc_ids]
 
     def find(batches):
         for batch in batches:
-            for raw in batch.column(0):
-                reader = ShardReader(raw.as_buffer().to_pybytes())
-                hits = [(id_of(k), ids.tolist()) for k in wanted for ids in reader.get(k)]
+            for uri in batch.column(0).to_pylist():
+                fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as source:
+                    reader = ShardReader(source)
+                    hits = [(id_of(k), ids.tolist()) for k in wanted for ids in reader.get(k)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     found: dict[int, list[np.ndarray]] = {}
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("content").mapInArrow(find, "doc_id long, ids array<int>").collect():
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path")  # contents aren't read
+    for row in shards.mapInArrow(find, "doc_id long, ids array<int>").collect():
         found.setdefault(row.doc_id, []).append(np.array(row.ids, np.uint32))
     return found
 
@@ -399,7 +507,8 @@ def token_table(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     """Write shards, read them back: doc_id, start, n_tokens, ids_crc32, shard."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "shards")
-    written = write_shards(docs, folder, tokenizer_file, id_col, text_col).collect()  # a row for each shard
+    with settings(spark, WRITING):
+        written = write_shards(docs, folder, tokenizer_file, id_col, text_col).collect()  # a row for each shard
     if not written:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
     totals = spark.createDataFrame([(r.shard, r.tokens) for r in written], "shard int, tokens long")
