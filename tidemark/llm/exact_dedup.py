@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import is_file, materialize, new_path, release
+from tidemark.llm.shared import is_file, materialize, new_path, settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A store is closed once its batch is committed: left open, each keeps files of its own, whatever it holds.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 def sha256(text):
@@ -56,16 +57,9 @@ class StreamingExactDedup:
         def commit(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{decisions}/batch={batch}")  # a repeated batch writes the same
 
-        before = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, ROCKSDB)
-        try:
+        with settings(self.spark, STATE):
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.home}/checkpoint").trigger(availableNow=True).foreachBatch(commit).start()
             query.awaitTermination()
-        finally:
-            if before is None:
-                self.spark.conf.unset(_PROVIDER)
-            else:
-                self.spark.conf.set(_PROVIDER, before)
 
     def state(self) -> DataFrame:
         """What the state holds: digest, n, keep (id, locator). Counts and ids only grow, so each digest's largest are its last."""
@@ -91,7 +85,6 @@ class StreamingExactDedup:
             split = split.select(F.col("locator").alias("at"), F.col("n").alias("own_n"), F.col("keep").alias("own_keep"))
             joined = mine.join(state, "digest").join(split, F.col("locator") == F.col("at"), "left")
             joined = joined.withColumn("n", F.coalesce("own_n", "n")).withColumn("keep", F.coalesce("own_keep", "keep"))
-        release(self.spark)
         return joined.select("id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"), "digest")
 
 
