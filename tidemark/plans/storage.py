@@ -45,7 +45,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 #: While a table is written: its shuffle files go when it is there, and what Python gets at a time is small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
