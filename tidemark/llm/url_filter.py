@@ -11,7 +11,7 @@ Defined results: a null url, or one without `://`, has empty host and path and
 fits no rule; without edges to judged addresses the verdict is allow; repeated
 rows are judged alike; an empty table gives an empty result. Only the columns
 named are read, so others don't matter. Edge ends are compared as addresses:
-host and path, without scheme, query and fragment.
+host, path and query, without scheme and fragment.
 """
 
 from __future__ import annotations
@@ -54,26 +54,50 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(F.lit(None).cast("struct<rule: string, verdict: string>"), *[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in ordered])
 
 
+_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+
+
+def resolve(target: Column, host: Column, path: Column) -> Column:
+    """The absolute form of a link's target on a page; null for fragments. Dot segments stay as they are."""
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    return (
+        F.when((target == "") | target.startswith("#"), None)
+        .when(F.contains(target, F.lit("://")), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
+        .when(target.startswith("?"), F.concat(F.lit("http://"), host, path, target))
+        .otherwise(F.concat(F.lit("http://"), host, folder, target))
+    )
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) addresses: from each page to the target of its canonical link and of its refresh redirect, if absolute."""
+    """(src, dst) addresses: from each page to the targets of all its canonical links and refresh redirects, relative ones resolved."""
     html, url = F.col(html_col), F.col(url_col)
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
     # Most pages have neither; a plain search is cheaper than the patterns.
     lowered = F.translate(html, _UPPER, _LOWER)
     named = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in ("canonical", "http-equiv")])
-    targets = pages.where(named).select(url.alias("src"), F.explode(F.array(link, refresh)).alias("dst")).where(F.contains(F.col("dst"), F.lit("://")))
-    return targets.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst"))
+    found = F.concat(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
+    targets = pages.where(named).select(url.alias("src"), F.explode(found).alias("dst"))
+    resolved = targets.select(address(F.col("src")).alias("src"), address(resolve(F.col("dst"), host_of(F.col("src")), path_of(F.col("src")))).alias("dst"))
+    return resolved.where("src <> '' and dst <> ''")
+
+
+def query_of(url: Column) -> Column:
+    """From the first `?` up to `#` or the end, or nothing."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"(?s)^[^?#]*(\?[^#]*)", 1)), F.lit(""))
 
 
 def address(url: Column) -> Column:
-    return F.concat(host_of(url), path_of(url))
+    """Host, path and query: pages that differ by their query alone are different pages."""
+    return F.concat(host_of(url), path_of(url), query_of(url))
 
 
 def judge_urls(pages: DataFrame, edges: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, by (rule, alias or default) of each page; `edges` has src and dst addresses."""
     url = F.col(url_col)
-    judged = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
+    judged = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("address"))
     judged = judged.select("*", match_rule(F.col("host"), F.col("path"), rules).alias("own"))
     edges = materialize(edges.select("src", "dst").where("src != '' and dst != ''"), "url-edges")
     if edges.isEmpty():
@@ -81,13 +105,13 @@ def judge_urls(pages: DataFrame, edges: DataFrame, id_col: str = "page_id", url_
     else:
         groups = connected_components(edges)
         # Every address in a component is judged, whether it has a page or is only linked to.
-        split = F.instr(F.col("node"), "/")
-        host = F.when(split > 0, F.substring(F.col("node"), F.lit(1), split - 1)).otherwise(F.col("node"))
-        path = F.when(split > 0, F.substring(F.col("node"), split, F.length("node"))).otherwise("")
+        host, path = (F.regexp_extract("node", pattern, 1) for pattern in (r"(?s)^([^/?]*)", r"(?s)^[^/?]*([^?]*)"))
         verdicts = groups.withColumn("v", match_rule(host, path, rules)["verdict"]).where("v is not null")
         verdicts = verdicts.groupBy("component").agg(F.min("v").alias("carried"))  # allow sorts before block
         verdicts = groups.join(verdicts, "component").select("node", "carried")
-        carried = judged.join(verdicts, F.concat("host", "path") == F.col("node"), "left")
+        # Pages without an address are in no component; they aren't joined, so they are no key either.
+        carried = judged.where("address <> ''").join(verdicts, F.col("address") == F.col("node"), "left")
+        carried = carried.unionByName(judged.where("address = ''").withColumn("carried", F.lit(None).cast("string")), allowMissingColumns=True)
     return carried.select(
         id_col, "host", "path", F.col("own.rule").alias("rule"),
         F.coalesce("own.verdict", "carried", F.lit("allow")).alias("verdict"),
@@ -107,26 +131,32 @@ WITH RECURSIVE u AS (
 ), p AS (
   SELECT page_id, html,
          translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(coalesce(rest, ''), '^[^?#]*(\?[^#]*)', 1) AS query
   FROM u
 ), rules(v, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), targets AS (
-  SELECT host || path AS src, unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+  SELECT host, path, host || path || query AS src, unnest(
+    list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS raw
   FROM p
+), whole AS (
+  SELECT src, CASE WHEN raw = '' OR raw LIKE '#%' THEN NULL WHEN strpos(raw, '://') > 0 THEN raw WHEN raw LIKE '//%' THEN 'http:' || raw
+                   WHEN raw LIKE '/%' THEN 'http://' || host || raw WHEN raw LIKE '?%' THEN 'http://' || host || path || raw
+                   ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || raw END AS t
+  FROM targets
 ), edges AS (
   SELECT src, translate(regexp_extract(substr(t, strpos(t, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-              || regexp_extract(substr(t, strpos(t, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS dst
-  FROM targets WHERE strpos(t, '://') > 0 AND src <> ''
+              || regexp_extract(substr(t, strpos(t, '://') + 3), '^[^/?#]*([^#]*)', 1) AS dst
+  FROM whole WHERE t IS NOT NULL AND src <> ''
 ), both_ways AS (SELECT src AS a, dst AS b FROM edges WHERE dst <> '' UNION SELECT dst, src FROM edges WHERE dst <> ''
 ), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
 ), judged AS (
   SELECT n.b, arg_max(r.v, length(r.h || r.pre)) AS v
   FROM (SELECT DISTINCT b FROM reach) n
-  JOIN rules r ON (regexp_extract(n.b, '^([^/]*)', 1) = r.h OR regexp_extract(n.b, '^([^/]*)', 1) LIKE '%.' || r.h)
-              AND regexp_extract(n.b, '^[^/]*(.*)', 1) LIKE r.pre || '%'
+  JOIN rules r ON (regexp_extract(n.b, '^([^/?]*)', 1) = r.h OR regexp_extract(n.b, '^([^/?]*)', 1) LIKE '%.' || r.h)
+              AND regexp_extract(n.b, '^[^/?]*([^?]*)', 1) LIKE r.pre || '%'
   GROUP BY n.b
 ), carried AS (SELECT reach.a, min(v) AS v FROM reach JOIN judged USING (b) GROUP BY reach.a
 ), own AS (
@@ -135,5 +165,5 @@ WITH RECURSIVE u AS (
   GROUP BY page_id
 )
 SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.v, carried.v, 'allow') AS verdict
-FROM p LEFT JOIN own USING (page_id) LEFT JOIN carried ON carried.a = p.host || p.path
+FROM p LEFT JOIN own USING (page_id) LEFT JOIN carried ON carried.a = p.host || p.path || p.query AND carried.a <> ''
 """
