@@ -8,10 +8,10 @@ passes over all its documents, and for the rest a prefix of a permutation of
 its blocks, cut inside the last block by a permutation of its documents.
 
 A block is all documents of a source whose hash falls into one of as many
-classes as the corpus has BLOCK_TOKENS of tokens. Only per-block sums are
-shuffled; of each source one block, the one that is cut, is looked at by
-document; so a source with most rows is spread like any other, and texts are
-never moved.
+classes as the corpus has BLOCK_TOKENS of tokens. Only sums are shuffled: of
+classes of blocks, then of one class's blocks, of classes of the cut block's
+documents, and of one class's documents; so a source with most rows is spread
+like any other, and texts are never moved.
 
 Defined results: the null source is a source; null text has no words, and
 documents without words come with every whole pass and with blocks wholly inside
@@ -32,6 +32,8 @@ from tidemark.llm.shared import materialize
 BLOCK_TOKENS = 1 << 22
 #: A budget of as many tokens as the corpus has.
 CORPUS = "corpus"
+#: Bits of an order below its class: 4,096 classes.
+CLASS_SHIFT = 52
 #: Sources up to which their plan is broadcast; with more it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -80,6 +82,26 @@ def budgets(tokens: list[int], budget: int | None, max_repetition: float | None,
     return exponent, [int(g + 1e-6) for g in given(exponent)]
 
 
+def _first_beyond(rows: DataFrame, level: Column, room: DataFrame) -> DataFrame:
+    """(s, level, room) for each source: the first level, in order, at whose end more than the room is taken, and what room is left before it.
+
+    Equal levels are summed on the map side, so a window sees levels, not rows.
+    """
+    spark = rows.sparkSession
+    sums = rows.groupBy("source", level.alias("level")).agg(F.sum("n_tokens").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("source").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    over = sums.withColumn("end", end).join(room.select("s", "room"), F.col("source").eqNullSafe(F.col("s"))).where("end > room")
+    first = over.groupBy("source").agg(F.min_by(F.struct("level", (F.col("room") - F.col("end") + F.col("n")).alias("room")), "level").alias("c"))
+    first = first.select(F.col("source").alias("s"), "c.level", "c.room")
+    return spark.createDataFrame(first.collect(), first.schema)  # a row for each source
+
+
+def _within(rows: DataFrame, level: Column, first: DataFrame, small) -> DataFrame:
+    """The rows of each source's level."""
+    there = first.select(F.col("s").alias("__s"), F.col("level").alias("__level"))
+    return rows.join(small(there), F.col("source").eqNullSafe(F.col("__s")) & (level == F.col("__level"))).drop("__s", "__level")
+
+
 def mix(docs: DataFrame, budget: int | str | None = None, max_repetition: float | None = None, target_entropy: float | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 17, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """struct `doc` (the row as it was), n_tokens, pass_no (from 0), block, position: a row each time a document is taken."""
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
@@ -101,25 +123,22 @@ def mix(docs: DataFrame, budget: int | str | None = None, max_repetition: float
         return df.withColumn("order", F.xxhash64(F.lit(seed + 2), "source", "block"))
 
     rows, slim = permuted(rows), permuted(slim)
-    # Blocks in permuted order: the first that isn't wholly within the rest is cut.
-    sized = slim.groupBy("source", "order").agg(F.sum("n_tokens").alias("n"))
-    along = Window.partitionBy("source").orderBy("order")
-    sized = sized.withColumn("end", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = sized.join(small(plan), F.col("source").eqNullSafe(F.col("src"))).where("end > rest")
-    cut = cut.groupBy("source").agg(F.min_by(F.struct("order", (F.col("rest") - F.col("end") + F.col("n")).alias("room")), F.struct("end", "order")).alias("c"))
-    cut = cut.select(F.col("source").alias("cut_source"), "c.order", "c.room").withColumnRenamed("order", "cut_order")
-    cut = spark.createDataFrame(cut.collect(), cut.schema)  # a row for each source
-    # Of that block, the documents in permuted order that fit; equal hashes go together.
-    of_cut = F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("order") == F.col("cut_order"))
-    inside = slim.select("source", "order", "h", "n_tokens").join(small(cut), of_cut)
-    fits = inside.withColumn("end", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h").rangeBetween(Window.unboundedPreceding, 0))).where("end <= room")
-    last = fits.groupBy("source").agg(F.max("h").alias("cut_h")).select(F.col("source").alias("last_source"), "cut_h")
-    last = spark.createDataFrame(last.collect(), last.schema)  # a row for each source
-    told = plan.join(cut, F.col("src").eqNullSafe(F.col("cut_source")), "left").join(last, F.col("src").eqNullSafe(F.col("last_source")), "left")
+    # The block that is cut, and the last document of it that fits: found level by level, from sums of a few thousand classes a source.
+    block_class, doc_class = F.shiftright("order", CLASS_SHIFT), F.shiftright("h", CLASS_SHIFT)
+    room = plan.select(F.col("src").alias("s"), F.col("rest").alias("room"))
+    cut = _first_beyond(slim, block_class, room)
+    inside = _within(slim, block_class, cut, small)
+    cut_block = _first_beyond(inside, F.col("order"), cut)
+    inside = _within(inside, F.col("order"), cut_block, small)
+    cut_class = _first_beyond(inside, doc_class, cut_block)
+    inside = _within(inside, doc_class, cut_class, small)
+    cut_doc = _first_beyond(inside, F.col("h"), cut_class)
+    told = plan.join(cut_block.select(F.col("s").alias("s1"), F.col("level").alias("cut_order")), F.col("src").eqNullSafe(F.col("s1")), "left")
+    told = told.join(cut_doc.select(F.col("s").alias("s2"), F.col("level").alias("cut_h")), F.col("src").eqNullSafe(F.col("s2")), "left")
     told = told.select("src", "passes", "rest", "cut_order", "cut_h")
 
     out = rows.join(small(told), F.col("source").eqNullSafe(F.col("src")))
-    in_rest = (F.col("rest") > 0) & ((F.col("order") < F.col("cut_order")) | ((F.col("order") == F.col("cut_order")) & F.coalesce(F.col("h") <= F.col("cut_h"), F.lit(False))))
+    in_rest = (F.col("rest") > 0) & ((F.col("order") < F.col("cut_order")) | ((F.col("order") == F.col("cut_order")) & F.coalesce(F.col("h") < F.col("cut_h"), F.lit(False))))
     copies = F.col("passes") + F.when(in_rest, 1).otherwise(0)
     out = out.withColumn("copies", copies).where("copies > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return out.select("doc", "n_tokens", "pass_no", "block", F.xxhash64(F.lit(seed + 3), "pass_no", "block", "h").alias("position"))
