@@ -8,8 +8,8 @@ languages are fitted again, and the set with the largest penalised likelihood
 (half a log of the words per extra language, times PENALTY) is kept.
 
 Training sums counts of trigrams, 2**BITS of them for each language: each task
-gives one table per language it has seen, tables are added where the language
-is dealt to, and only the sums reach the driver.
+gives one table per language it has seen, dealt in PARTS, so one language's is
+added in several tasks, and only the sums reach the driver.
 
 Defined results: text that is null, empty or without letters is `und`, score 0;
 rows with null language don't train; with nothing to train on all is `und`; an
@@ -28,6 +28,8 @@ from tidemark.llm.bytescan import LOWER, RUNS, slices, utf8
 from tidemark.llm.shared import crc32_bucket
 
 BITS, SMOOTH, ROUNDS, PENALTY = 16, 0.5, 6, 6.0
+#: Parts that a language's table is dealt in.
+PARTS = 16
 UNKNOWN = "und"
 _LETTERS = RUNS == 1
 #: Marks and digits count as blanks.
@@ -67,19 +69,23 @@ def count_trigrams(docs: DataFrame, lang_col: str, text_col: str) -> dict[str, n
                     mine = np.repeat(own == lang, np.diff(letters))
                     sums[lang] = sums.get(lang, 0) + np.bincount(bucket[mine], minlength=1 << BITS)
         for lang, c in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
+            parts = [p.astype("<i8").tobytes() for p in np.split(c, PARTS)]
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * PARTS, "part": pa.array(range(PARTS), pa.int32()), "counts": pa.array(parts, pa.binary())})
 
     def add(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + np.frombuffer(raw, "<i8")
-        for lang, c in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": pa.array([c.tobytes()], pa.binary())})
+            for lang, part, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                sums[lang, part] = sums.get((lang, part), 0) + np.frombuffer(raw, "<i8")
+        for (lang, part), c in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "part": pa.array([part], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
 
-    schema = "lang string, counts binary"
+    schema = "lang string, part int, counts binary"
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return {r.lang: np.frombuffer(r.counts, "<i8") for r in rows.mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect()}
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for r in rows.mapInArrow(count, schema).repartition("lang", "part").mapInArrow(add, schema).collect():  # 2**BITS counts a language
+        found.setdefault(r.lang, {})[r.part] = np.frombuffer(r.counts, "<i8")
+    return {lang: np.concatenate([parts[i] for i in range(PARTS)]) for lang, parts in found.items()}
 
 
 class Mixture:
