@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Documents are scanned in slices of about this many bytes; a longer document is a slice of its own.
-SLICE = 1 << 21
+#: Documents are scanned in slices of about this many bytes, so that what is computed of them stays small; a longer document is a slice of its own.
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -127,10 +127,3 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h += words[i : n - size + 1 + i]
     return mix(h)
-
-
-def text_batches(batches, column: str):
-    """For each Arrow batch: the batch and its slices over a text column."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
-        yield batch, slices(data, offsets)

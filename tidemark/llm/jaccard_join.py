@@ -144,15 +144,22 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
     @trimmed
     def scan(batches):
+        held, own, size = [], [], 0
+
+        def told():
+            return pack(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), np.array(own, np.int64))
+
         for batch in batches:
-            uids, held, size, first = batch.column(0).to_numpy(), [], 0, 0
-            for i, s in enumerate(sets_of(batch.column(1), k)):
-                held.append(s)
-                size += len(s)
-                if size > 1 << 19 or len(held) == _SLICE_DOCS or i + 1 == batch.num_rows:
-                    if size:
-                        yield pack(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), uids[first : i + 1])
-                    held, size, first = [], 0, i + 1
+            for uid, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), k), strict=True):
+                if len(s):
+                    held.append(s)
+                    own.append(uid)
+                    size += len(s)
+                if size > 1 << 19 or len(held) == _SLICE_DOCS:
+                    yield told()
+                    held, own, size = [], [], 0
+        if held:
+            yield told()
 
     def pack(s: np.ndarray, doc: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         """For each bucket: keys, those known to be shared first, then each document's; the documents that have some; and how many."""
@@ -196,14 +203,21 @@ def count_shared(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         names, at, known_names = [np.zeros(1, np.int64)], -1, 1
 
         def told():
-            entries = np.concatenate(held)
+            entries, at = np.empty(sum(map(len, held)), np.uint64), 0
+            for i, part in enumerate(held):  # each goes as soon as it is copied
+                entries[at : at + len(part)], at, held[i] = part, at + len(part), None
             held.clear()
             entries.sort()
-            same = (entries[1:] ^ entries[:-1]) < np.uint64(1 << 32)
-            shared = np.append(same, False)
-            shared[1:] |= same
-            places = (entries[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            counts = np.bincount(places[places > 0], minlength=known_names)
+            counts = np.zeros(known_names, np.int64)
+            for i in range(0, len(entries), 1 << 18):
+                # A part with its neighbours; those only tell whether the part's ends are shared.
+                lo, hi = max(0, i - 1), min(len(entries), i + (1 << 18) + 1)
+                same = (entries[lo + 1 : hi] ^ entries[lo : hi - 1]) < np.uint64(1 << 32)
+                shared = np.append(same, False)
+                shared[1:] |= same
+                part = slice(i - lo, min(len(entries), i + (1 << 18)) - lo)
+                counts += np.bincount((entries[lo:hi][part][shared[part]] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=known_names)
+            counts[0] = 0
             some = np.flatnonzero(counts)
             return packed_counts(np.concatenate(names)[some], counts[some])
 

@@ -49,6 +49,8 @@ LENGTH, GRAM = 50, 20
 BIN, HOT = 1 << 17, 1 << 20
 #: Bytes of text whose hashes meet at once, and partitions they are dealt to at most; a partition takes its share one after another.
 MEET, MEETINGS = 32 << 20, 1 << 14
+#: Bytes of text whose hashes are sent together.
+MESSAGE = 2 << 20
 _KNOWN = 0xFFFF
 
 
@@ -84,6 +86,15 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return low[starts], np.searchsorted(offsets, starts, "right") - 1, starts, ends - 1 + length
 
 
+def segments_of(data: np.ndarray, offsets: np.ndarray):
+    """The segments of a slice, found in parts that stay in the processor's cache."""
+    parts = []
+    for lo, _, part, bounds in slices(data, offsets, 1 << 17):
+        hashes, doc, starts, ends = segments(part, bounds)
+        parts.append((hashes, doc + lo, starts + offsets[lo], ends + offsets[lo]))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 def _signature(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and 32 further bits of a hash. A chance agreement only makes a segment be looked at."""
     return ((hashes >> np.uint64(34)) % np.uint64(buckets) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)).view(np.int64)
@@ -97,8 +108,8 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
-            for lo, hi, part, bounds in slices(data, offsets):
-                hashes, doc, _, _ = segments(part, bounds)
+            for lo, hi, part, bounds in slices(data, offsets, MESSAGE):
+                hashes, doc, _, _ = segments_of(part, bounds)
                 sig, own = _signature(hashes, buckets), uids[lo:hi]
                 _, first, same = np.unique(own, return_index=True, return_inverse=True)
                 doc = first[same][doc]  # copies in a slice are one
@@ -367,8 +378,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             uids, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             wanted, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             data, offsets = utf8(batch.column(2))
-            for lo, hi, part, bounds in slices(data, offsets):
-                hashes, doc, starts, ends = segments(part, bounds)
+            for lo, hi, part, bounds in slices(data, offsets, MESSAGE):
+                hashes, doc, starts, ends = segments_of(part, bounds)
                 sig = _signature(hashes, buckets)
                 # Pairs of document and hash, mixed; what agrees by chance is sent in vain.
                 pair = lambda d, x: x.view(np.uint64) ^ d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -1,70 +1,16 @@
-"""Where intermediate tables go, and small helpers that several operators use."""
+"""What several operators use: tables in the shared folder, and memory that goes back after a task."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from contextlib import contextmanager
+import gc
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            found = jdir.get()
-        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings that hold for a block."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-#: While a table is written: its shuffle files go when it is there, and what Python gets at a time is small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with settings(spark, WRITING):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate files through Spark's own file system layer."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+from tidemark.plans.storage import WRITING, is_file, materialize, new_path, remove, settings
 
 
 def discard(*tables: DataFrame) -> None:
@@ -74,11 +20,6 @@ def discard(*tables: DataFrame) -> None:
             remove(df.sparkSession, folder)
 
 
-def is_file(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isFile()
-
-
 def trimmed(f):
     """A function over Arrow batches that gives memory back to the system when its task ends: workers outlive tasks."""
 
@@ -87,6 +28,7 @@ def trimmed(f):
         try:
             yield from f(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
@@ -103,3 +45,6 @@ def blob_partitions(df: DataFrame, total: int, each: int) -> int:
 def crc32_bucket(col: str, n: int):
     """crc32 of a value's text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
+
+
+__all__ = ["WRITING", "blob_partitions", "crc32_bucket", "discard", "is_file", "materialize", "new_path", "remove", "settings", "trimmed"]

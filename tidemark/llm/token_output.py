@@ -61,7 +61,7 @@ _SPACE = WORDS == 0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 #: Bytes of text whose pieces are looked up together.
-_AT_A_TIME = 2 << 20
+_AT_A_TIME = 1 << 20
 _MARK = (RUNS == 3) & (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
 
 
