@@ -101,7 +101,18 @@ def _signature(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
-    """(uid, sig): hashes of a text that another text also has, once or more often; rows (uid, text), where copies have one uid."""
+    """(uid, sigs): the hashes of a text that another text also has; rows (uid, text), where copies have one uid."""
+    parts = min(buckets, MEETINGS)
+
+    def reply(uids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        """Pairs, packed by where a uid's are gathered."""
+        to = uids % parts
+        order = np.argsort(to, kind="stable")
+        uids, sigs, to = uids[order], sigs[order], to[order]
+        edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)).tolist() if len(to) else [0]
+        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(to[edges[:-1]], pa.int32()), pack(uids), pack(sigs)], names=["to", "uids", "sigs"])
+
 
     @trimmed
     def scan(batches):
@@ -113,8 +124,12 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
                 sig, own = _signature(hashes, buckets), uids[lo:hi]
                 _, first, same = np.unique(own, return_index=True, return_inverse=True)
                 doc = first[same][doc]  # copies in a slice are one
-                order = np.lexsort((doc, sig))
-                sig, doc = sig[order], doc[order]
+                if buckets <= 1 << 15 and hi - lo <= 1 << 16:  # both fit one word, which sorts faster
+                    both = np.sort(sig << 16 | doc)
+                    sig, doc = both >> 16, both & 0xFFFF
+                else:
+                    order = np.lexsort((doc, sig))
+                    sig, doc = sig[order], doc[order]
                 new = np.ones(len(sig), bool)
                 new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
                 sig, doc = sig[new], doc[new]
@@ -144,18 +159,18 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
 
         def told():
             keys, uids = np.concatenate([k for k, _ in held]), np.concatenate([u for _, u in held])
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, uids = keys[order], uids[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             many = np.minimum.reduceat(uids, first) != np.maximum.reduceat(uids, first)
             shared = np.repeat(many, np.diff(np.append(first, len(keys)))) & (uids != 0)
-            return pa.RecordBatch.from_arrays([pa.array(uids[shared]), pa.array((at << 32) | keys[shared].astype(np.int64))], names=["uid", "sig"])
+            return reply(uids[shared], (at << 32) | keys[shared].astype(np.int64))
 
         for batch in batches:
             for bucket, keys, which, uids in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], strict=True):
                 keys, which, own = keys.as_buffer(), which.as_buffer(), np.frombuffer(uids.as_buffer(), np.int64)
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.frombuffer(keys, np.int64))], names=["uid", "sig"])
+                    yield reply(own, np.frombuffer(keys, np.int64))
                     continue
                 if bucket != at and held:
                     yield told()
@@ -167,13 +182,26 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield told()
 
+    @trimmed
+    def gather(batches):
+        """A partition's texts with their hashes; what copies were told twice is there once."""
+        uids, sigs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64) for i in (1, 2)]
+            uids, sigs = np.append(uids, more[0]), np.append(sigs, more[1])
+            order = np.lexsort((sigs, uids))
+            uids, sigs = uids[order], sigs[order]
+            new = np.append(True, (uids[1:] != uids[:-1]) | (sigs[1:] != sigs[:-1]))[: len(uids)]
+            uids, sigs = uids[new], sigs[new]
+        at = np.flatnonzero(np.append(True, uids[1:] != uids[:-1]))[: len(uids)]
+        yield pa.RecordBatch.from_arrays([pa.array(uids[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(uids)), pa.int32()), pa.array(sigs))], names=["uid", "sigs"])
+
     packed = texts.mapInArrow(scan, "bucket int, keys binary, which binary, uids binary")
-    parts = min(buckets, MEETINGS)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("uids"), F.lit(parts))).otherwise(F.col("bucket") % parts).cast("int")
     dealt = packed.repartitionById(parts, spread)
     if buckets > parts:
         dealt = dealt.sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "uid long, sig long")
+    return dealt.mapInArrow(meet, "to int, uids binary, sigs binary").repartitionById(parts, F.col("to")).mapInArrow(gather, "uid long, sigs array<long>")
 
 
 # ---- the index ------------------------------------------------------------------------------------------------------
@@ -369,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = told.where(f"n >= {LENGTH} and id is not null").select("uid", "id", "text")
     total = int(long.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = blob_partitions(docs, total, MEET)
-    shared = shared_hashes(long.select("uid", "text"), buckets).groupBy("uid").agg(F.collect_set("sig").alias("sigs"))
+    shared = shared_hashes(long.select("uid", "text"), buckets)
     shared = materialize(shared.join(holders.select(F.col("uid").alias("holder"), "first"), F.col("uid") == F.col("holder")).select("uid", "first", "sigs"), "repeat-hashes")
 
     @trimmed
@@ -398,15 +426,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = [sig, h.view(np.int64), uids[lo + doc], ids[lo + doc], starts - bounds[doc], (ends - starts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, out), segs], names=["sig", "h", "uid", "id", "start", "size", "seg"])
 
-    found = shared.withColumnRenamed("uid", "u").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "id", "text", "sigs")
+    # Where one side has a key once, it is hashed and the larger side isn't sorted.
+    found = shared.withColumnRenamed("uid", "u").hint("shuffle_hash").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "id", "text", "sigs")
     sent = materialize(found.mapInArrow(send, "sig long, h long, uid long, id long, start long, size int, seg binary"), "repeat-segments")
     discard(shared)
     # Distinct segments with their smallest id; how many a hash has, and how many bytes.
     distinct = sent.groupBy("sig", "h").agg(F.min("id").alias("least"), F.first("size").alias("bytes"))
     counted = distinct.groupBy("sig").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).withColumnRenamed("sig", "s")
-    distinct = materialize(distinct.join(counted, F.col("sig") == F.col("s")).select("sig", "h", "least", "n", "total"), "repeat-distinct")
+    distinct = materialize(distinct.join(counted.hint("shuffle_hash"), F.col("sig") == F.col("s")).select("sig", "h", "least", "n", "total"), "repeat-distinct")
     meeting = distinct.where("n > 1").select(F.col("sig").alias("os"), F.col("h").alias("oh"), "least", "total")
-    with_bytes = sent.where("seg is not null").select("sig", "h", "seg").join(meeting, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("oh")))
+    with_bytes = sent.where("seg is not null").select("sig", "h", "seg").join(meeting.hint("shuffle_hash"), (F.col("sig") == F.col("os")) & (F.col("h") == F.col("oh")))
     with_bytes = with_bytes.groupBy("sig", "h").agg(F.first("seg").alias("seg"), F.min("least").alias("id"), F.first("total").alias("total"))
     some_hot = not distinct.where(F.col("total") > bin_bytes).where("n > 1").isEmpty()
     if some_hot:
@@ -430,7 +459,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["uid", "from", "to"])
 
     spans_type = "array<struct<from: long, to: long>>"
-    joined = slim.join(owners, (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).where("owner is null or owner < id")
+    joined = slim.join(owners.hint("shuffle_hash"), (F.col("sig") == F.col("os")) & (F.col("h") == F.col("og"))).where("owner is null or owner < id")
     marks = joined.select("uid", "id", "start", "size", "owners").mapInArrow(mark, "uid long, from long, to long")
     # Hashes with very many distinct segments: each window on its own.
     texts_of_hot = with_bytes.where(F.col("total") > bin_bytes).select(F.col("sig").alias("os"), F.col("h").alias("og"), "seg")
@@ -465,7 +494,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["spans"].append([{"from": a, "to": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays([pa.array(out["u"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["spans"], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=list(out))
 
-    edited = spans.withColumnRenamed("uid", "u").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "text", "spans")
+    edited = spans.withColumnRenamed("uid", "u").hint("shuffle_hash").join(long, (F.col("u") == F.col("uid")) & (F.col("first") == F.col("id"))).select("uid", "text", "spans")
     edited = materialize(edited.mapInArrow(cut, f"u long, n_removed long, n_spans long, kept string, spans {spans_type}").dropDuplicates(["u"]), "repeat-edited")
     slim = told.select("id", "sha", "n", "uid")
     out = slim.join(holders.select(F.col("sha").alias("s"), "first"), F.col("sha") == F.col("s"), "left").join(edited, F.col("u") == F.col("uid"), "left")
