@@ -233,3 +233,13 @@ def test_scoring(spark):
     assert scoring.score_distinct(rows.limit(0), "t", scoring.keyword_scorer, scoring.LABELS).count() == 0
     assert scoring.analyze_one(spark, "error again", 5, 3) == {"id": 0, "text_clean": "error again", "pred_label": "negative", "complaint": True, "flagged_by": "model", "topic": 3, "note": "topic"}
     assert scoring.analyze_one(spark, "view", 1)["note"] == "stars only" and scoring.analyze_one(spark, "error", None)["note"] == "too short" and scoring.analyze_one(spark, None, 5)["complaint"]
+
+
+def test_entry_points_need_no_session():
+    """Nothing is made of the engine's at import, and every oracle has its query."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(o) > 130"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

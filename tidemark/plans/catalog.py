@@ -181,7 +181,6 @@ SQL["smoke_sample"] = f"SELECT review_id, app FROM {{reviews}} ORDER BY {rnd(1)}
 # ---- sorts and sets
 SQL["sort_reviews"] = "SELECT review_id, app, row_number() OVER (PARTITION BY app ORDER BY ts, review_id) AS place FROM {reviews}"
 SQL["topk_topics"] = "SELECT topic, count(*) AS n FROM {reviews} WHERE topic <> -1 GROUP BY topic ORDER BY n DESC, topic LIMIT 4"
-SQL["select_rule"] = "WITH f AS (SELECT score AS candidate, CAST(count_if(gold = 'negative' AND pred_label = 'negative') AS DOUBLE) / NULLIF(CAST(count_if(gold = 'negative') AS DOUBLE), 0e0) AS m FROM {labeled} GROUP BY score) SELECT candidate, m FROM (SELECT candidate, m, max(m) OVER () AS best FROM f) AS t WHERE m >= best - 0.02e0 ORDER BY candidate LIMIT 1"
 SQL["union_all"] = "SELECT review_id, 'weak' AS kind, weak_label AS label FROM {labeled} UNION ALL SELECT review_id, 'gold' AS kind, gold AS label FROM {labeled}"
 SQL["union_keys"] = "SELECT doc_id FROM {labels} UNION SELECT doc_id FROM {documents} WHERE n_chars < 500"
 _SETS = "s AS (SELECT doc_id, 'labeled' AS part FROM {labels} UNION ALL SELECT doc_id, 'short' AS part FROM {documents} WHERE n_chars < 500 UNION ALL SELECT doc_id, 'english' AS part FROM {documents} WHERE lang = 'en' UNION ALL SELECT doc_id, 'french' AS part FROM {documents} WHERE lang = 'fr')"
@@ -207,11 +206,6 @@ DUCK["calibrate_threshold"] = "SELECT value + 1e-9 AS threshold FROM (SELECT val
 
 # ---- topics and contracts
 SQL["apply_merges"] = "WITH m AS (SELECT review_id, CASE topic WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE topic END AS merged FROM {reviews} WHERE is_complaint), z AS (SELECT merged, row_number() OVER (ORDER BY count(*) DESC, merged) - 1 AS renumbered FROM m WHERE merged <> -1 GROUP BY merged) SELECT m.review_id, CAST(coalesce(z.renumbered, -1) AS BIGINT) AS topic FROM m LEFT JOIN z ON m.merged = z.merged"
-_NAMES = "(VALUES (0, 'login', NULL), (1, NULL, 2), (2, NULL, 3), (3, 'pay', NULL), (4, NULL, 4), (5, 'pay', NULL), (6, NULL, NULL), (7, NULL, -1), (8, NULL, 99)) AS t(topic, name, target)"
-SQL["validate_merges"] = f"WITH s AS (SELECT * FROM {_NAMES}) SELECT 'self' AS problem, topic FROM s WHERE target = topic UNION ALL SELECT 'outlier', topic FROM s WHERE target = -1 UNION ALL SELECT 'missing', topic FROM s WHERE target <> -1 AND target NOT IN (SELECT topic FROM s) UNION ALL SELECT 'chain', s.topic FROM s JOIN s u ON s.target = u.topic WHERE u.target IS NOT NULL AND s.target <> s.topic UNION ALL SELECT 'unnamed', topic FROM s WHERE name IS NULL AND target IS NULL UNION ALL SELECT 'twice', topic FROM s WHERE name IN (SELECT name FROM s WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1)"
-_SHEET = "(VALUES ('G1', 'text one', 'negative'), ('G2', 'text two', NULL), ('G2', 'text two', 'bad'), ('G4', 'changed', 'neutral')) AS t(gold_id, text, label)"
-_KEY = "(VALUES ('G1', 'text one'), ('G2', 'text two'), ('G3', 'text three'), ('G4', 'text four')) AS k(gold_id, text)"
-SQL["validate_sheet"] = f"WITH s AS (SELECT * FROM {_SHEET}), k AS (SELECT * FROM {_KEY}) SELECT 'missing' AS problem, gold_id FROM k WHERE gold_id NOT IN (SELECT gold_id FROM s) UNION ALL SELECT 'twice', gold_id FROM s GROUP BY gold_id HAVING count(*) > 1 UNION ALL SELECT 'text', s.gold_id FROM s JOIN k ON s.gold_id = k.gold_id WHERE s.text <> k.text UNION ALL SELECT 'label', gold_id FROM s WHERE label NOT IN ('negative', 'neutral', 'positive') UNION ALL SELECT 'blank', gold_id FROM s WHERE label IS NULL"
 SQL["check_final"] = f"WITH s AS (SELECT review_id, app, weak_label FROM ({_RANKED}) AS t WHERE rn <= 40) SELECT app, weak_label, count(*) AS n, count(*) <> 40 AS unbalanced, count(*) <> count(DISTINCT review_id) AS repeated FROM s GROUP BY app, weak_label"
 SQL["key_unique"] = "SELECT 'labels' AS part, count(*) - count(DISTINCT doc_id) AS repeats FROM {labels} UNION ALL SELECT 'documents', count(*) - count(DISTINCT doc_id) FROM {documents}"
 SQL["row_conservation"] = "SELECT a.n AS before, b.n AS after, a.n = b.n AS kept FROM (SELECT count(*) AS n FROM {documents}) a CROSS JOIN (SELECT count(*) AS n FROM {docs}) b"
