@@ -32,8 +32,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytescan import ALNUM, LOWER, Hasher, mix, slices, tokens, utf8
-from tidemark.llm.shared import new_path
+from tidemark.llm.bytescan import ALNUM, LOWER, SLICE, Hasher, mix, slices, tokens, utf8
+from tidemark.llm.shared import new_path, small_batches
 
 MIN_TILE, THRESHOLD, BLOCK_WORDS = 5, 0.5, 1 << 20
 _FIRST_LENGTH = 20
@@ -217,8 +217,8 @@ class Items:
                 best[d] = (share, item)
 
 
-#: Bytes of text whose words are kept while all blocks pass.
-_AT_A_TIME = 16 << 20
+#: Bytes of text whose words are kept while all blocks pass, if there are several.
+_AT_A_TIME = 4 << 20
 _loaded: dict[str, Items] = {}
 
 
@@ -262,7 +262,7 @@ def _matcher(paths: list[str], least: float):
     def match(texts: pa.Array) -> pa.Array:
         data, offsets = utf8(texts)
         best: list[tuple[float, object]] = []
-        for lo, hi, part, bounds in slices(data, offsets, _AT_A_TIME):
+        for lo, hi, part, bounds in slices(data, offsets, _AT_A_TIME if len(paths) > 1 else SLICE):
             words, at = _words(part, bounds)
             seeds, own = _windows(words, MIN_TILE), [(least, None)] * (hi - lo)
             for path in paths:
@@ -275,6 +275,7 @@ def _matcher(paths: list[str], least: float):
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """id, coverage (of the best covered item, 0 if none shares a seed), item_id, contaminated of every document."""
+    small_batches(docs.sparkSession)
     match = _matcher(write_blocks(benchmark, block_words=block_words), 0.0)
     found = docs.select(F.col(id_col), match(F.col(text_col)).alias("found"))
     return found.select(id_col, "found.coverage", "found.item_id", (F.col("found.coverage") >= threshold).alias("contaminated"))
@@ -282,6 +283,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """Documents that no item contaminates, all columns as they were."""
+    small_batches(docs.sparkSession)
     match = _matcher(write_blocks(benchmark), float(np.nextafter(threshold, 0)))
     return docs.where(match(F.col(text_col))["coverage"] < threshold)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import LOWER, RUNS, slices, utf8
-from tidemark.llm.shared import crc32_bucket
+from tidemark.llm.shared import crc32_bucket, small_batches
 
 BITS, SMOOTH, ROUNDS, PENALTY = 16, 0.5, 6, 6.0
 #: Parts that a language's table is dealt in.
@@ -150,6 +150,7 @@ class Mixture:
 def infer_languages(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang_pred, score, langs, shares of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(Mixture(count_trigrams(training, lang_col, text_col)))  # 2**BITS floats a language
 
     @F.arrow_udf("struct<lang_pred: string, score: double, langs: array<string>, shares: array<double>>")

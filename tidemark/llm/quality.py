@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import LOWER, RUNS, Hasher, mix, slices, tokens, utf8
-from tidemark.llm.shared import crc32_bucket
+from tidemark.llm.shared import crc32_bucket, small_batches
 
 BITS, SCALE, EPOCHS, MAX_TRAIN = 18, 10.0, 4, 8000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text to score."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model.weights)  # 2**BITS floats
 
     @F.arrow_udf("double")

@@ -7,12 +7,20 @@ import gc
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.storage import WRITING, is_file, materialize, new_path, remove, settings
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts come to Python in small batches, in what the caller runs later too. A smaller setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(name)).lower()
+    if own in ("-1", "64m", "67108864b", "67108864"):  # as the engine sets it
+        spark.conf.set(name, WRITING[name])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later step reads."""
     for df in tables:
@@ -47,4 +55,4 @@ def crc32_bucket(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-__all__ = ["WRITING", "blob_partitions", "crc32_bucket", "discard", "is_file", "materialize", "new_path", "remove", "settings", "trimmed"]
+__all__ = ["WRITING", "blob_partitions", "crc32_bucket", "discard", "is_file", "materialize", "new_path", "remove", "settings", "small_batches", "trimmed"]
