@@ -98,8 +98,9 @@ def test_repeats(spark):
 
 def test_index_against_brute_force():
     strings = [bytes(RNG.choice(b"ab") for _ in range(RNG.randrange(6, 40))) for _ in range(12)]
-    found = repeats.RunLengthIndex(strings, np.arange(12), 5).stream(strings, 5)
-    for s, own in zip(strings, found, strict=True):
+    data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    found = repeats.RunLengthIndex(data, sizes, np.arange(12), 5).stream(data, sizes, 5)
+    for s, own in zip(strings, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
         for j in range(len(s) - 4):
             assert own[j] == min(i for i, t in enumerate(strings) if s[j : j + 5] in t)
 

@@ -210,14 +210,14 @@ def shared_hashes(texts: DataFrame, buckets: int) -> DataFrame:
 class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of several byte strings, the suffix array sampled at run ends."""
 
-    def __init__(self, strings: list[bytes], owners: np.ndarray, length: int = LENGTH):
-        k = len(strings)
-        sizes = np.array([len(s) for s in strings])
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int = LENGTH):
+        """Of strings that stand one after another in `data`."""
+        k = len(sizes)
         self.text = np.zeros(int(sizes.sum()) + k, np.int64)  # each string, then an end mark of its own, smaller than any byte
         ends = np.cumsum(sizes + 1) - 1
         inside = np.ones(len(self.text), bool)
         inside[ends] = False
-        self.text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + k
+        self.text[inside] = data.astype(np.int64) + k
         self.text[ends] = np.arange(k)
         self.base, n = k, len(self.text)
         owner = np.repeat(owners, sizes + 1)
@@ -292,19 +292,18 @@ class RunLengthIndex:
             above = size
         return a - start
 
-    def stream(self, patterns: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-        """For each position of each pattern, the smallest owner of the string of `length` bytes from there, or a large number if no string has it.
+    def stream(self, data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+        """For each position of patterns that stand one after another, the smallest owner of the string of `length` bytes from there, or a large number if no string has it.
 
         Patterns are read from right to left, all at once. The state is a row, the
         text position of its suffix and the matching statistic. A byte that isn't
         in the row's transform is looked for in the nearest runs above and below.
         """
-        sizes = np.array([len(p) for p in patterns])
         order = np.argsort(-sizes, kind="stable")
         ends = np.cumsum(sizes)
-        joined = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + self.base
+        joined = data.astype(np.int64) + self.base
         out = np.full(int(sizes.sum()), np.iinfo(np.int64).max)
-        row, pos, match = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        row, pos, match = (np.zeros(len(sizes), np.int64) for _ in range(3))
         pos[:] = self.sample_first[0]
         falling = -sizes[order]
         for t in range(int(sizes.max())):
@@ -337,7 +336,7 @@ class RunLengthIndex:
             row[:m], pos[:m], match[:m] = i, p, l
             long = np.flatnonzero(l >= length)
             out[at[long]] = self.smallest[self.stretch[i[long]]]
-        return [out[e - s : e] for e, s in zip(ends, sizes, strict=True)]
+        return out
 
 
 # ---- on Spark -------------------------------------------------------------------------------------------------------
@@ -346,35 +345,43 @@ class RunLengthIndex:
 def owners_of_windows(distinct: DataFrame) -> DataFrame:
     """(sig, h, owner, owners) of distinct segments (sig, h, seg, id): the smallest id that has all windows, or else of each window."""
 
-    def batch(sigs, hs, owner, owners):
-        return pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(hs, pa.int64()), pa.array(owner, pa.int64()), pa.array(owners, pa.binary())], names=["sig", "h", "owner", "owners"])
+    def told(sig: np.ndarray, h: np.ndarray, ids: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        """Rows stand by hash, then id: the first of each hash has all its windows itself and isn't streamed."""
+        rest = np.append(False, sig[1:] == sig[:-1])
+        owner, mixed, kept = ids.copy(), np.zeros(len(sig), bool), np.zeros(0, np.int64)
+        if rest.any():
+            own = sizes[rest]
+            found = RunLengthIndex(data, sizes, ids).stream(data[np.repeat(rest, sizes)], own)
+            # Where windows begin: all but the last LENGTH - 1 positions of a pattern.
+            windows = own - (LENGTH - 1)
+            at = np.cumsum(own) - own
+            found = found[np.arange(int(windows.sum())) + np.repeat(at - (np.cumsum(windows) - windows), windows)]
+            first = np.cumsum(windows) - windows
+            least, most = np.minimum.reduceat(found, first), np.maximum.reduceat(found, first)
+            owner[rest], mixed[rest] = least, least != most
+            kept = found[np.repeat(least != most, windows)]
+        ends = np.cumsum(np.where(mixed, (sizes - (LENGTH - 1)) * 8, 0)).astype(np.int32)
+        owners = pa.Array.from_buffers(pa.binary(), len(sig), [pa.py_buffer(np.packbits(mixed, bitorder="little")), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(kept)])
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(h), pa.array(owner, mask=mixed), owners], names=["sig", "h", "owner", "owners"])
 
     @trimmed
     def run(batches):
-        held, size = [], 0
-
-        def told():
-            """Rows stand by hash, then id: the first of each hash has all its windows itself."""
-            first = [i == 0 or held[i - 1][0] != r[0] for i, r in enumerate(held)]
-            index, rest = RunLengthIndex([r[2] for r in held], np.array([r[3] for r in held])), [r for r, f in zip(held, first, strict=True) if not f]
-            found = iter(index.stream([r[2] for r in rest]) if rest else [])
-            owner, owners = [], []
-            for r, f in zip(held, first, strict=True):
-                own = None if f else next(found)[: len(r[2]) - LENGTH + 1]
-                same = f or bool((own == own[0]).all())
-                owner.append(r[3] if f else int(own[0]) if same else None)
-                owners.append(None if same else own.tobytes())
-            return batch([r[0] for r in held], [r[1] for r in held], owner, owners)
-
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint8), np.zeros(0, np.int64)]
         for part in batches:
-            for row in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
-                if size >= BIN and row[0] != held[-1][0]:
-                    yield told()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield told()
+            data, offsets = utf8(part.column(2))
+            more = [part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3).to_numpy(), data, np.diff(offsets)]
+            held = [np.append(a, b) for a, b in zip(held, more, strict=True)]
+            while True:
+                # An index is full at the first hash that begins beyond BIN bytes.
+                begins, at = np.append(False, held[0][1:] != held[0][:-1]), np.cumsum(held[4]) - held[4]
+                cut = int(np.argmax(begins & (at >= BIN))) if len(begins) else 0
+                if not cut:
+                    break
+                b = int(at[cut])
+                yield told(*(x[:cut] for x in held[:3]), held[3][:b], held[4][:cut])
+                held = [*(x[cut:] for x in held[:3]), held[3][b:], held[4][cut:]]
+        if len(held[0]):
+            yield told(*held)
 
     return distinct.select("sig", "h", "seg", "id").repartition("sig").sortWithinPartitions("sig", "id", "h").mapInArrow(run, "sig long, h long, owner long, owners binary")
 
