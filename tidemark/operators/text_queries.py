@@ -40,8 +40,14 @@ def weekly_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("app", "week", "partial", "n", "k", rate(F.col("k"), F.col("n")).alias("share"), F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    """Texts; a table of fewer splits than there are cores is dealt out, a larger one is read as it lies."""
+    texts, cores = view(spark, sf_dir, "texts").select("review_id", "app", "content"), spark.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores, "review_id")
+
+
 def _docs(spark, sf_dir, *cols):
-    return view(spark, sf_dir, "texts").select("review_id", *cols)
+    return _texts(spark, sf_dir).select("review_id", *cols)
 
 
 def _with_emoji(text):
@@ -213,7 +219,7 @@ _TERMS = r"t AS (SELECT review_id, app, unnest(list_filter(regexp_split_to_array
 
 def _terms(spark, sf_dir):
     words = F.filter(F.split(F.lower("content"), "[^a-z]+"), lambda w: F.length(w) > 3)
-    return view(spark, sf_dir, "texts").select("review_id", "app", F.explode(words).alias("term"))
+    return _texts(spark, sf_dir).select("review_id", "app", F.explode(words).alias("term"))
 
 
 @query(f"WITH {_TERMS}, n AS (SELECT count(DISTINCT review_id) AS n FROM {{texts}}) SELECT term, df, round(ln((1e0 + n) / (1e0 + df)) + 1e0, 9) AS idf FROM (SELECT term, count(DISTINCT review_id) AS df FROM t GROUP BY term) AS d, n WHERE df >= 2")
