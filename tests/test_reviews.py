@@ -156,20 +156,36 @@ def test_text_model_has_all_terms_and_the_whole_grid(spark):
 
 
 def test_neutral_words(spark):
-    apply, _ = T.neutralizer([("gopay|dana", "app"), ("s(?:h)?opee ?pay(?:later)?|spay", "app"), ("ovo", "app")])
-    texts = ["GoPay error", "gopaynya", "ShopeePay PayLater", "spay", "dana saya hilang", "OVOnya", "danau"]
-    found = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(apply(F.col("t")).alias("t")).collect()]
-    assert found == ["app error", "appnya", "app PayLater", "app", "app saya hilang", "appnya", "danau"]
-
-
-def test_allocation():
-    assert joins.allocate({"a": 5, "b": 3}, 9, "equal") == {"a": 5, "b": 3}
-    assert joins.allocate({"a": 100, "b": 2, "c": 50}, 30, "equal") == {"a": 14, "b": 2, "c": 14}
-    assert joins.allocate({"a": 50, "b": 30, "c": 20}, 7, "proportional") == {"a": 4, "b": 2, "c": 1}
-    for total in range(1, 40):
-        for mode in ("equal", "proportional"):
-            given_ = joins.allocate({"a": 1, "b": 9, "c": 30}, total, mode)
-            assert sum(given_.values()) == total and all(given_[k] <= n for k, n in {"a": 1, "b": 9, "c": 30}.items())
+    """Rules apply in order, whatever the case; a name keeps an ending but isn't found inside another word."""
+    apply, _ = T.neutralizer([("kestrel bank|kestrel", "app"), ("lumio", "shop")])
+    cases = {"Kestrel Bank is down": "app is down", "my KESTREL": "my app", "lumionya late": "shopnya late", "Lumio or kestrel?": "shop or app?", "kestrels fly": "kestrels fly", "volumio": "volumio", "": ""}
+    found = {r.t: r.n for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", apply(F.col("t")).alias("n")).collect()}
+    assert found == cases
+
+
+def brute_allocation(sizes, total, mode):
+    """One row at a time to the stratum that is farthest below its wish, in fractions."""
+    total, whole = min(total, sum(sizes.values())), sum(sizes.values())
+    given = dict.fromkeys(sizes, 0)
+    if mode == "proportional":
+        given = {k: n * total // whole for k, n in sizes.items()}
+        for k in sorted(sizes, key=lambda k: (-(sizes[k] * total % whole), k))[: total - sum(given.values())]:
+            given[k] += 1
+        return given
+    for _ in range(total):
+        k = min((k for k in sizes if given[k] < sizes[k]), key=lambda k: (given[k], k))
+        given[k] += 1
+    return given
+
+
+def test_allocation(spark):
+    with pytest.raises(files.ContractError, match="unknown mode"):
+        joins.allocate(spark.range(1).selectExpr("id AS k", "id AS n"), "k", 1, "other")
+    for sizes in ({"a": 1, "b": 9, "c": 30}, {"a": 100, "b": 2, "c": 50, "d": 2}, {"x": 5}):
+        strata = spark.createDataFrame(list(sizes.items()), "k string, n long")
+        for total in (1, 2, 7, 13, 38, 60, 200):
+            for mode in ("equal", "proportional"):
+                assert {r.k: r.alloc for r in joins.allocate(strata, "k", total, mode).collect()} == brute_allocation(sizes, total, mode)
 
 
 def test_contracts_stop(spark, tmp_path):

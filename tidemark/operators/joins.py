@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.views import duck, view
@@ -67,33 +67,41 @@ def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated_join(labels.select("doc_id", "quality"), lengths, "doc_id", how="left", unique=("right",), cover=True)
 
 
-# ---- allocation over strata: a few rows, so the driver deals them out
+# ---- allocation over strata
 
 
-def allocate(counts: dict[str, int], total: int, mode: str) -> dict[str, int]:
-    """Parts of `total` for each stratum, none above its size: in proportion or equal, the largest remainders first, by name where equal."""
-    if total >= sum(counts.values()):
-        return dict(counts)
+def allocate(strata: DataFrame, key: str, total: Column | int, mode: str) -> DataFrame:
+    """strata (key, n) with alloc: parts of `total` that no stratum's size falls short of. Windows are over strata, not their rows.
+
+    `proportional`: whole parts, and the rest one by one to the largest remainders. `equal`: strata are filled to one
+    level, small ones whole; what the level leaves goes one by one to those above it. By key where equal.
+    """
+    every = Window.partitionBy(F.lit(0))  # a row a stratum
+    sized = strata.select(key, "n", F.least(F.lit(total) if isinstance(total, int) else total, F.sum("n").over(every)).cast("long").alias("total"))
     if mode == "proportional":
-        wish = {k: n * total / sum(counts.values()) for k, n in counts.items()}
+        whole = F.sum("n").over(every)
+        parts = sized.select(key, "n", "total", F.expr("(n * total) div (sum(n) over (partition by 0))").alias("base"), ((F.col("n") * F.col("total")) % whole).alias("rest"))
+        place = F.row_number().over(every.orderBy(F.desc("rest"), key))
+        gets = place <= F.col("total") - F.sum("base").over(every)
     elif mode == "equal":
-        wish = dict.fromkeys(counts, total / len(counts))
+        up = every.orderBy("n", key)
+        # With the smaller strata whole, this is the level of the others; the first stratum that isn't below its own sets it.
+        ranked = sized.select("*", F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), (F.count("*").over(every) - F.row_number().over(up) + 1).alias("left"))
+        own = ranked.withColumn("level", F.expr("(total - below) div left"))
+        level = F.max(F.when(F.col("n") > F.col("level"), F.col("level"))).over(every)  # later ones are lower
+        parts = own.select(key, "n", "total", F.least("n", F.coalesce(level, F.col("n"))).alias("base"), (F.col("n") > F.coalesce(level, F.col("n"))).alias("room"))
+        place = F.row_number().over(every.orderBy(F.desc("room"), key))
+        gets = F.col("room") & (place <= F.col("total") - F.sum("base").over(every))
     else:
         raise ContractError(f"unknown mode {mode}")
-    given = {k: min(int(wish[k]), n) for k, n in counts.items()}
-    while left := total - sum(given.values()):
-        room = sorted((k for k in counts if given[k] < counts[k]), key=lambda k: (given[k] - wish[k], k))
-        for k in room[:left]:
-            given[k] += 1
-    return given
+    return parts.select("*", gets.alias("gets")).select(key, "n", (F.col("base") + F.col("gets").cast("int")).cast("long").alias("alloc"))
 
 
 @query(
-    "WITH c AS (SELECT topic::STRING AS topic, count(*) AS n FROM {reviews} WHERE score = 1 AND is_partial_week GROUP BY topic), t AS (SELECT (sum(n) * 2 // 3)::BIGINT AS total FROM c), l AS (SELECT unnest(range(0, 100000)) AS level), f AS (SELECT max(level) AS level FROM l, t WHERE (SELECT sum(least(n, level)) FROM c) <= total), g AS (SELECT topic, n, least(n, level) AS base, n > level AS room FROM c, f), r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY topic) AS place FROM g) SELECT topic, n, (base + CASE WHEN room AND place <= (SELECT total FROM t) - (SELECT sum(base) FROM g) THEN 1 ELSE 0 END)::BIGINT AS alloc FROM r"
+    "WITH c AS (SELECT topic::STRING AS topic, count(*) AS n FROM {reviews} GROUP BY topic), t AS (SELECT (sum(n) * 2 // 3)::BIGINT AS total FROM c), l AS (SELECT unnest(range(0, 100000)) AS level), f AS (SELECT max(level) AS level FROM l, t WHERE (SELECT sum(least(n, level)) FROM c) <= total), g AS (SELECT topic, n, least(n, level) AS base, n > level AS room FROM c, f), r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY topic) AS place FROM g) SELECT topic, n, (base + CASE WHEN room AND place <= (SELECT total FROM t) - (SELECT sum(base) FROM g) THEN 1 ELSE 0 END)::BIGINT AS alloc FROM r"
 )
 def allocate_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal parts of two thirds of a week's one-star reviews by topic, small topics whole."""
-    rows = view(spark, sf_dir, "reviews").where("score = 1 and is_partial_week").groupBy(F.col("topic").cast("string").alias("topic")).count().collect()  # a row a topic
-    counts = {r.topic: r["count"] for r in sorted(rows, key=lambda r: r.topic)}
-    given = allocate(counts, sum(counts.values()) * 2 // 3, "equal")
-    return spark.createDataFrame([(k, n, given[k]) for k, n in counts.items()], "topic string, n long, alloc long")
+    """Equal parts of two thirds of all reviews by topic, small topics whole."""
+    strata = view(spark, sf_dir, "reviews").groupBy(F.col("topic").cast("string").alias("topic")).agg(F.count("*").alias("n"))
+    two_thirds = F.expr("(sum(n) over (partition by 0)) * 2 div 3")
+    return allocate(strata, "topic", two_thirds, "equal")
