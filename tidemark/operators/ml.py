@@ -12,18 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, PCAModel, CountVectorizer, IDF, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import PCA, PCAModel, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import text_vectors
 from tidemark.plans.storage import materialize, new_path
 from tidemark.plans.views import view
 
 
-#: The reference's grid; every term in min_df training rows is a feature, so the vocabulary has no cap.
-MIN_DF, C, NO_CAP = (2.0, 3.0, 5.0), (0.25, 0.5, 1.0, 2.0, 4.0), 2**31 - 1
+#: The reference's grid. Every term is in a bucket; a bucket that min_df training rows have is a feature.
+MIN_DF, C = (2, 3, 5), (0.25, 0.5, 1.0, 2.0, 4.0)
 
 
 def char_grams(text: Column) -> Column:
@@ -36,53 +36,16 @@ def char_grams(text: Column) -> Column:
     def grams_of(texts: pa.Array) -> pa.Array:
         grams, ends = [], [0]
         for t in texts.to_pylist():
-            for word in (t or "").lower().split():
-                padded = f" {word} "
-                for n in range(3, min(5, len(padded)) + 1):
-                    grams += [padded[i : i + n] for i in range(len(padded) - n + 1)]
+            grams += text_vectors.char_grams(t or "")
             ends.append(len(grams))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, pa.string()))
 
     return grams_of(text)
 
 
-def _terms(data: DataFrame) -> DataFrame:
-    """Word uni- and bigrams and character runs of each text."""
-    data = RegexTokenizer(inputCol="content", outputCol="words", pattern=r"\W+").transform(data)
-    data = NGram(n=2, inputCol="words", outputCol="pairs").transform(data)
-    return data.withColumn("word_terms", F.concat("words", "pairs")).withColumn("char_terms", char_grams(F.coalesce("content", F.lit(""))))
-
-
-class TextFeatures:
-    """tf-idf of words and characters side by side: tf sublinear, each part of length 1."""
-
-    def __init__(self, train: DataFrame, min_df: float):
-        self.parts = []
-        for part in ("word", "char"):
-            counter = CountVectorizer(inputCol=f"{part}_terms", outputCol=f"{part}_tf", minDF=min_df, vocabSize=NO_CAP).fit(train)
-            idf = IDF(inputCol=f"{part}_tf", outputCol="unused").fit(counter.transform(train)).idf.toArray() + 1.0
-            self.parts.append((part, counter, idf))
-
-    def transform(self, data: DataFrame) -> DataFrame:
-        idfs = [idf for _, _, idf in self.parts]
-        for _, counter, _ in self.parts:
-            data = counter.transform(data)
-
-        def weigh(*parts):
-            at, values, start = [], [], 0
-            for v, idf in zip(parts, idfs, strict=True):
-                x = (1.0 + np.log(v.values)) * idf[v.indices]
-                at.append(v.indices + start)
-                values.append(x / (np.sqrt((x * x).sum()) or 1.0))
-                start += v.size
-            return SparseVector(start, np.concatenate(at), np.concatenate(values))
-
-        return data.withColumn("features", F.udf(weigh, VectorUDT())(*(f"{part}_tf" for part, _, _ in self.parts)))
-
-
 def fit(rows: DataFrame, c: float) -> LogisticRegressionModel:
     """Multinomial logistic regression with class weights, which add up to the rows, so 1 / (c rows) is the reference's penalty."""
-    return LogisticRegression(family="multinomial", regParam=1.0 / (c * rows.count()), standardization=False, maxIter=3000, tol=1e-3, weightCol="weight").fit(rows)
+    return LogisticRegression(family="multinomial", regParam=1.0 / (c * rows.count()), standardization=False, maxIter=300, tol=1e-3, weightCol="weight").fit(rows)
 
 
 def macro_f1(scored: DataFrame) -> float:
@@ -102,56 +65,80 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(counts, "app").withColumn("weight", F.lit(float(total)) / (F.lit(float(k)) * F.col("n")))
 
 
-#: Rows of one task while a model is fitted: small tables are not dealt to many tasks, whose start would take longer than their work.
-ROWS_A_TASK, FITS_AT_ONCE = 20_000, 5
+#: Rows of one task while a model is fitted, at least, and fits that run side by side.
+ROWS_A_TASK, FITS_AT_ONCE = 100, 8
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    data = materialize(_terms(StringIndexer(inputCol="app", outputCol="label", stringOrderType="alphabetAsc").fit(w := _weighted(spark, sf_dir)).transform(w)), "ml-terms")
+    """Rows to train on and to hold out, their terms counted by bucket once."""
+    weighted = _weighted(spark, sf_dir)
+    labelled = StringIndexer(inputCol="app", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(weighted).transform(weighted)
+    data = text_vectors.counted(labelled.select("review_id", "label", "weight", "content"))
     return data.where("review_id % 5 <> 0"), data.where("review_id % 5 = 0")
 
 
-def _features(features: TextFeatures, data: DataFrame) -> DataFrame:
+def _features(data: DataFrame, idf: np.ndarray) -> DataFrame:
     """Vectors, written once: neither the regression's passes nor the next model compute them again."""
-    rows = materialize(features.transform(data).select("review_id", "label", "weight", "features"), "ml-features")
-    return rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK))).persist()
+    rows = text_vectors.sparse_vectors(data, idf)
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return (rows.repartition(max(1, tasks)) if rows.rdd.getNumPartitions() < tasks else rows).persist()
 
 
 def logreg_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, held_out = _split(spark, sf_dir)
-    features = TextFeatures(train, MIN_DF[0])
-    rows = _features(features, train)
+    idf = text_vectors.weights(train, MIN_DF[0])
+    rows = _features(train, idf)
     model = fit(rows, C[0])
     rows.unpersist()
-    return model.transform(features.transform(held_out)).select("review_id", "label", "prediction")
+    return model.transform(text_vectors.sparse_vectors(held_out, idf)).select("review_id", "label", "prediction")
+
+
+def bucket_names(texts: DataFrame, wanted: list[int]) -> DataFrame:
+    """at, feature: the most frequent term of each of some buckets, by all texts; of equal ones the first."""
+    some = set(wanted)  # as many as are reported
+
+    @F.arrow_udf("array<struct<at: int, feature: string, n: int>>")
+    def named(column: pa.Array) -> pa.Array:
+        out = [[{"at": b, "feature": f"{part}__{term}", "n": n} for part, found in text_vectors.terms(t).items() for term, n in found.items() if (b := text_vectors.bucket(part, term)) in some] for t in column.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("feature", pa.string()), ("n", pa.int32())])))
+
+    counts = texts.select(F.explode(named("content")).alias("t")).groupBy("t.at", "t.feature").agg(F.sum("t.n").alias("n"))
+    return counts.groupBy("at").agg(F.min_by("feature", F.struct(-F.col("n"), F.col("feature"))).alias("feature"))
 
 
 def top_features(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """label, sign, place, feature, coefficient: the terms that speak most for and against each label."""
+    """label, sign, place, feature, coefficient: the terms that speak most for and against each label; a bucket has the name of its most frequent term."""
     train, _ = _split(spark, sf_dir)
-    features = TextFeatures(train, MIN_DF[0])
-    rows = _features(features, train)
+    rows = _features(train, text_vectors.weights(train, MIN_DF[0]))
     coefficients = fit(rows, C[0]).coefficientMatrix.toArray()  # a row a label
     rows.unpersist()
-    names = [f"{part}__{term}" for part, counter, _ in features.parts for term in counter.vocabulary]
     out = []
     for label, own in enumerate(coefficients):
         order = np.argsort(own, kind="stable")
         for sign, best in (("positive", order[::-1][:n]), ("negative", order[:n])):
-            out += [(label, sign, place, names[i], float(own[i])) for place, i in enumerate(best, 1)]
-    return spark.createDataFrame(out, "label int, sign string, place int, feature string, coefficient double")
+            out += [(label, sign, place, int(i), float(own[i])) for place, i in enumerate(best, 1)]
+    best = spark.createDataFrame(out, "label int, sign string, place int, at int, coefficient double")
+    names = bucket_names(view(spark, sf_dir, "texts"), [i for *_, i, _ in out])
+    return best.join(names, "at").select("label", "sign", "place", "feature", "coefficient")
 
 
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro-F1 on held-out rows for each grid point, and the best; of equal ones the first stays best. Some fits run side by side."""
     train, held_out = _split(spark, sf_dir)
-    rows: list[tuple[float, float, float]] = []
+    parts = {}
     for min_df in MIN_DF:
-        features = TextFeatures(train, min_df)
-        ours, theirs = _features(features, train), _features(features, held_out)
-        with ThreadPool(FITS_AT_ONCE) as pool:
-            rows += pool.map(lambda c: (min_df, c, macro_f1(fit(ours, c).transform(theirs))), C, chunksize=1)  # noqa: B023
-        ours.unpersist(), theirs.unpersist()
+        idf = text_vectors.weights(train, min_df)
+        parts[min_df] = _features(train, idf), _features(held_out, idf)
+
+    def point(at: tuple[int, float]) -> tuple[float, float, float]:
+        ours, theirs = parts[at[0]]
+        return float(at[0]), at[1], macro_f1(fit(ours, at[1]).transform(theirs))
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        rows = pool.map(point, [(min_df, c) for min_df in MIN_DF for c in C], chunksize=1)
+    for both in parts.values():
+        for part in both:
+            part.unpersist()
     best = 0
     for i, (_, _, f1) in enumerate(rows):
         best = i if f1 > rows[best][2] + 1e-9 else best
