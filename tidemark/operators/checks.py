@@ -58,7 +58,7 @@ def sheet_problems(sheet: DataFrame, key: DataFrame, labels=LABELS, tags=TAGS) -
     )
 
 
-_KEY = "SELECT 'G' || lpad(CAST(doc_id AS STRING), 6, '0') AS gold_id, doc_id, doc_id AS place, trim(left(text, 60)) AS text, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS label FROM {documents} JOIN {labels} USING (doc_id)"
+_KEY = "SELECT 'G' || lpad(CAST(doc_id AS STRING), 6, '0') AS gold_id, doc_id, doc_id AS place, trim(text) AS text, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS label FROM {documents} JOIN {labels} USING (doc_id)"
 
 
 @query(
@@ -68,7 +68,7 @@ def validate_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet of all labelled documents, exported, filled in with errors of each kind, and read back."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     i = F.col("doc_id")
-    key = docs.join(labels, "doc_id").select(F.concat(F.lit("G"), F.lpad(i.cast("string"), 6, "0")).alias("gold_id"), i, i.alias("place"), F.trim(F.left("text", F.lit(60))).alias("text"), F.when(F.col("quality") == 1, " Positive").otherwise("negative").alias("label"))
+    key = docs.join(labels, "doc_id").select(F.concat(F.lit("G"), F.lpad(i.cast("string"), 6, "0")).alias("gold_id"), i, i.alias("place"), F.trim("text").alias("text"), F.when(F.col("quality") == 1, " Positive").otherwise("negative").alias("label"))
     filled = key.where(i % 50 != 7).select(
         F.when(i % 95 == 21, i + 1).otherwise(i).alias("place"), "gold_id", F.when(i % 60 == 11, F.concat(F.lit("x "), F.col("text"))).otherwise(F.col("text")).alias("text"),
         F.when(i % 70 == 13, "bad").when(i % 80 == 17, " ").otherwise(F.col("label")).alias("label"), F.when(i % 90 == 19, "Toxic, unheard of").otherwise(" Sarcasm,,toxic ").alias("notes"), "doc_id",

@@ -59,6 +59,8 @@ SQL["topic_map"] = "SELECT r.review_id, r.topic, m.name FROM {reviews} r LEFT JO
 SQL["join_semi"] = "SELECT review_id, app FROM {docs} WHERE review_id IN (SELECT doc_id FROM {labels} WHERE quality = 0)"
 SQL["join_anti"] = "SELECT review_id, app FROM {texts} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.review_id)"
 SQL["exclude_id_text"] = "SELECT review_id FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.review_id AND l.toxic = 1) AND NOT EXISTS (SELECT 1 FROM {labels} l JOIN {documents} x ON l.doc_id = x.doc_id WHERE l.toxic = 1 AND lower(x.text) = lower(d.content))"
+DUCK["exclude_id_text"] = SQL["exclude_id_text"]
+SQL["exclude_id_text"] = SQL["exclude_id_text"].replace("lower(x.text) = lower(d.content)", "sha2(lower(x.text), 256) = sha2(lower(d.content), 256)")
 SQL["ordinal_check"] = "SELECT a.rn, a.review_id AS left_id, b.review_id AS right_id, a.review_id = b.review_id AS same FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) AS rn FROM {texts}) a JOIN (SELECT review_id, row_number() OVER (ORDER BY app, review_id) AS rn FROM {texts}) b ON a.rn = b.rn"
 SQL["replacement_plan"] = """
 WITH slots AS (SELECT review_id AS slot_id, app, row_number() OVER (PARTITION BY app ORDER BY review_id) AS k FROM {labeled} WHERE review_id % 200 = 0),
@@ -74,7 +76,8 @@ SQL["dup_report"] = f"SELECT app, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n - 1) A
 DUCK["dup_report"] = f"SELECT app, count(*) AS n, count_if(rn > 1) AS dups, {DIV('count_if(rn > 1)', 'count(*)')} AS dup_share, {DIV('count_if(rn > 1 AND length(content) > 100)', 'count_if(length(content) > 100)')} AS long_dup_share FROM (SELECT app, content, row_number() OVER (PARTITION BY app, lower(content) ORDER BY review_id) AS rn FROM {{texts}}) AS t GROUP BY app"
 SQL["dup_top_texts"] = "SELECT app, h, n, rn FROM (SELECT app, h, n, row_number() OVER (PARTITION BY app ORDER BY n DESC, h) AS rn FROM (SELECT app, md5(lower(coalesce(content, ''))) AS h, count(*) AS n FROM {texts} GROUP BY app, md5(lower(coalesce(content, '')))) AS c) AS t WHERE rn <= 5"
 DUCK["dup_top_texts"] = "WITH c AS (SELECT app, md5(any_value(lower(content))) AS h, count(*) AS n FROM {texts} GROUP BY app, lower(content)), r AS (SELECT a.app, a.h, a.n, 1 + count(b.h) AS rn FROM c a LEFT JOIN c b ON a.app = b.app AND (b.n > a.n OR b.n = a.n AND b.h < a.h) GROUP BY a.app, a.h, a.n) SELECT * FROM r WHERE rn <= 5"
-SQL["pool_report"] = "SELECT app, count(*) AS n, count_if(g = 1) AS in_pool, " + ", ".join(f"count_if(g = 1 AND q = {q}) AS q{q}" for q in (0, 1)) + ", count_if(g > 1 AND a = 1) AS only_global FROM (SELECT app, quality AS q, row_number() OVER (PARTITION BY lower(content) ORDER BY review_id) AS g, row_number() OVER (PARTITION BY app, lower(content) ORDER BY review_id) AS a FROM {docs}) AS t GROUP BY app"
+SQL["pool_report"] = "SELECT app, count(*) AS n, count_if(g = 1) AS in_pool, " + ", ".join(f"count_if(g = 1 AND q = {q}) AS q{q}" for q in (0, 1)) + ", count_if(g > 1 AND a = 1) AS only_global FROM (SELECT app, quality AS q, row_number() OVER (PARTITION BY sha2(lower(content), 256) ORDER BY review_id) AS g, row_number() OVER (PARTITION BY app, sha2(lower(content), 256) ORDER BY review_id) AS a FROM {docs}) AS t GROUP BY app"
+DUCK["pool_report"] = SQL["pool_report"].replace("sha2(lower(content), 256)", "lower(content)")
 SQL["version_summary"] = f"SELECT app, {DIV('count_if(version IS NULL)', 'count(*)')} AS null_share, count(DISTINCT version) AS n_versions FROM {{reviews}} GROUP BY app"
 SQL["version_top"] = "SELECT app, version, n, rn FROM (SELECT app, version, count(*) AS n, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, version) AS rn FROM {reviews} WHERE version IS NOT NULL GROUP BY app, version) AS t WHERE rn <= 5"
 SQL["ingest_summary"] = f"SELECT app, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT version) AS n_versions, round({DIV('count_if(version IS NULL)', 'count(*)')}, 4) AS null_version_share, " + ", ".join(f"count_if(score = {s}) AS s{s}" for s in range(1, 6)) + " FROM {reviews} GROUP BY app"
@@ -106,8 +109,8 @@ WITH base AS (SELECT app, version, is_complaint, CAST(day AS STRING) IN ('2024-0
 agg AS (SELECT app, version, count(*) AS n, count_if(is_complaint) AS k, count_if(peak) AS n_peak, count_if(peak AND is_complaint) AS k_peak FROM base GROUP BY app, version)
 SELECT app, version, n, k, {LOW} AS lo, {HIGH} AS hi, {DIV('k', 'n')} AS share, {DIV('k_peak', 'n_peak')} AS share_peak, {DIV('k - k_peak', 'n - n_peak')} AS share_rest FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY n DESC, version) AS rn FROM agg) AS t WHERE rn <= 5"""
 
-SQL["crosstab_cube"] = "WITH c AS (SELECT CASE WHEN grouping(app) = 1 THEN 'all' ELSE app END AS app, CASE WHEN grouping(topic) = 1 THEN 'all' ELSE CAST(topic AS STRING) END AS topic, count(*) AS n FROM {reviews} WHERE score = 1 AND is_partial_week GROUP BY CUBE (app, topic)) SELECT a.app, t.topic, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT app FROM c) a CROSS JOIN (SELECT DISTINCT topic FROM c) t LEFT JOIN c ON c.app = a.app AND c.topic = t.topic"
-DUCK["crosstab_cube"] = "WITH r AS (SELECT app, CAST(topic AS STRING) AS topic FROM {reviews} WHERE score = 1 AND is_partial_week), a AS (SELECT DISTINCT app FROM r UNION SELECT 'all'), t AS (SELECT DISTINCT topic FROM r UNION SELECT 'all') SELECT a.app, t.topic, (SELECT count(*) FROM r WHERE (a.app = 'all' OR r.app = a.app) AND (t.topic = 'all' OR r.topic = t.topic)) AS n FROM a CROSS JOIN t"
+SQL["crosstab_cube"] = "WITH c AS (SELECT CASE WHEN grouping(app) = 1 THEN 'all' ELSE app END AS app, CASE WHEN grouping(topic) = 1 THEN 'all' ELSE CAST(topic AS STRING) END AS topic, count(*) AS n FROM {reviews} GROUP BY CUBE (app, topic)) SELECT a.app, t.topic, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT app FROM c) a CROSS JOIN (SELECT DISTINCT topic FROM c) t LEFT JOIN c ON c.app = a.app AND c.topic = t.topic"
+DUCK["crosstab_cube"] = "WITH r AS (SELECT app, CAST(topic AS STRING) AS topic FROM {reviews}), a AS (SELECT DISTINCT app FROM r UNION SELECT 'all'), t AS (SELECT DISTINCT topic FROM r UNION SELECT 'all') SELECT a.app, t.topic, (SELECT count(*) FROM r WHERE (a.app = 'all' OR r.app = a.app) AND (t.topic = 'all' OR r.topic = t.topic)) AS n FROM a CROSS JOIN t"
 SQL["pivot_by_star"] = "SELECT app, " + ", ".join(f"count_if(score = {s}) AS star_{s}" for s in range(1, 6)) + " FROM {reviews} GROUP BY app"
 SQL["value_share"] = f"SELECT pred_label, count(*) AS n, {DIV('count(*)', 'sum(count(*)) OVER ()')} AS share FROM {{reviews}} GROUP BY pred_label"
 SQL["len_percentiles"] = "SELECT app, percentile(n_chars, 0.5) AS p50, percentile(n_chars, 0.9) AS p90, percentile(n_chars, 0.99) AS p99 FROM {texts} GROUP BY app"

@@ -1,9 +1,9 @@
 """All queries of the library by name, and their SQL."""
 
-from tidemark.operators import bootstrap, checks, density, joins, ml, paired_bootstrap, scoring, text_queries, text_vectors, topics
+from tidemark.operators import bootstrap, checks, density, joins, ml, ordering, paired_bootstrap, scoring, text_queries, text_vectors, topics
 from tidemark.plans import catalog, spikes
 from tidemark.sources import queries as sources
 from tidemark.streaming import weekly
 
-QUERIES = {**catalog.QUERIES, **spikes.QUERIES, **text_queries.QUERIES, **checks.QUERIES, **joins.QUERIES, **scoring.QUERIES, **topics.QUERIES, **bootstrap.QUERIES, **paired_bootstrap.QUERIES, **density.QUERIES, **ml.QUERIES, **text_vectors.QUERIES, **sources.QUERIES, **weekly.QUERIES}
-ORACLES = {**catalog.ORACLES, **spikes.ORACLES, **text_queries.ORACLES, **checks.ORACLES, **joins.ORACLES, **scoring.ORACLES, **topics.ORACLES, **density.ORACLES, **sources.ORACLES, **weekly.ORACLES}
+QUERIES = {**catalog.QUERIES, **spikes.QUERIES, **text_queries.QUERIES, **checks.QUERIES, **joins.QUERIES, **scoring.QUERIES, **topics.QUERIES, **bootstrap.QUERIES, **paired_bootstrap.QUERIES, **density.QUERIES, **ml.QUERIES, **text_vectors.QUERIES, **sources.QUERIES, **ordering.QUERIES, **weekly.QUERIES}
+ORACLES = {**catalog.ORACLES, **spikes.ORACLES, **text_queries.ORACLES, **checks.ORACLES, **joins.ORACLES, **scoring.ORACLES, **topics.ORACLES, **density.ORACLES, **sources.ORACLES, **ordering.ORACLES, **weekly.ORACLES}
