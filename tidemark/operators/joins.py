@@ -21,22 +21,31 @@ def query(sql: str | None = None):
     return add
 
 
-def require_unique(df: DataFrame, key: str, name: str) -> None:
-    """Keys are counted on the map side first; one that occurs twice is an error."""
-    twice = df.groupBy(key).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ContractError(f"{name}: {key} {twice[0][0]} occurs {twice[0][1]} times")
+def required(holds: Column, message: Column) -> Column:
+    """A filter that lets every row through and stops the query at one that breaks a contract."""
+    return F.when(holds, True).otherwise(F.raise_error(message).cast("boolean"))
+
+
+def _by_key(df: DataFrame, key: str, side: str, unique: bool) -> DataFrame:
+    """key, rows as one struct column; with `unique` a row a key, checked by the place of rows of a key, on the sort that the join needs."""
+    rows = df.select(F.col(key).alias("__key"), F.struct(*[c for c in df.columns if c != key]).alias(f"__{side}"))
+    if not unique:
+        return rows
+    placed = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    said = F.concat(F.lit(f"{side}: {key} "), F.coalesce(F.col("__key").cast("string"), F.lit("null")), F.lit(" occurs twice"))
+    return placed.where(required(F.col("__n") == 1, said)).drop("__n")
 
 
 def validated_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", unique: tuple[str, ...] = ("left", "right"), cover: bool = False) -> DataFrame:
-    """A join on one key. `unique` names the sides on which it must be; with `cover` each row of the left must find one."""
-    for side, df in (("left", left), ("right", right)):
-        if side in unique:
-            require_unique(df, key, side)
-    other = right.withColumnRenamed(key, "__key")
-    if cover and not left.join(other, F.col(key) == F.col("__key"), "left_anti").isEmpty():
-        raise ContractError(f"rows of the left have no {key} on the right")
-    return left.join(other, F.col(key) == F.col("__key"), how).drop("__key")
+    """A join on one key whose contracts are part of its plan: they are checked by the job that reads the result, on the same shuffle.
+
+    `unique` names the sides on which the key must be; with `cover` each row of the left must find one.
+    """
+    a, b = _by_key(left, key, "left", "left" in unique), _by_key(right, key, "right", "right" in unique)
+    joined = a.join(b, "__key", "left" if cover else how)
+    if cover:
+        joined = joined.where(required(F.col("__right").isNotNull(), F.concat(F.lit(f"no {key} on the right: "), F.coalesce(F.col("__key").cast("string"), F.lit("null")))))
+    return joined.select(F.col("__key").alias(key), "__left.*", "__right.*").select(*left.columns, *[c for c in right.columns if c != key])
 
 
 @query("SELECT review_id, app, text_clean, pred_label FROM {reviews} WHERE is_complaint")
@@ -53,9 +62,8 @@ def trends_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string").alias(c)
     base = validated_join(reviews.select("review_id", "app", text("week"), text("day")), reviews.select("review_id", "is_complaint"), "review_id", cover=True)
     topics = reviews.where("is_complaint").select("review_id", "topic", F.lit(True).alias("in_fit"))
-    out = validated_join(base, topics, "review_id", how="left", unique=("right",))
-    if not out.where("is_complaint <> (topic is not null)").isEmpty():
-        raise ContractError("topics are not those of the complaints")
+    out = validated_join(base, topics, "review_id", how="left")
+    out = out.where(required(F.col("is_complaint") == F.col("topic").isNotNull(), F.lit("topics are not those of the complaints")))
     return out.select("review_id", "app", "week", "day", F.coalesce("in_fit", F.lit(False)).alias("in_fit"), "topic")
 
 
