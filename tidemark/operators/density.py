@@ -55,12 +55,17 @@ def query(sql: str | None = None):
 # ---- points and leaves
 
 
-def points(rows: DataFrame) -> DataFrame:
-    """point (the smallest id), v (of length 1), copies. rows: review_id, embedding."""
+def points(rows: DataFrame, unit: bool = True) -> DataFrame:
+    """point (the smallest id), v (of length 1, or as it is), copies. rows: review_id, embedding."""
+    return points_of(rows, unit).where("v is not null").groupBy("v").agg(F.min("review_id").alias("point"), F.count("*").alias("copies"))
+
+
+def points_of(rows: DataFrame, unit: bool = True) -> DataFrame:
+    """review_id, v as points() has it; null where there is none."""
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sound = rows.where(F.size("embedding") > 0).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).withColumn("length", length).where("length > 0")
-    unit = F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("length"), 12) + 0.0)
-    return sound.select("review_id", unit.alias("v")).groupBy("v").agg(F.min("review_id").alias("point"), F.count("*").alias("copies"))
+    sound = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & ((length > 0) | F.lit(not unit))
+    told = rows.withColumn("__length", length if unit else F.lit(1.0))
+    return told.select("review_id", F.when(sound, F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("__length"), 12) + 0.0)).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -356,9 +361,9 @@ def chosen_clusters(falls: DataFrame, children: DataFrame, copies: DataFrame) ->
     return rows.groupBy(F.lit(0).alias("all")).applyInArrow(choose, "cluster string, label string")
 
 
-def density_clusters(rows: DataFrame, fitted: tuple[DataFrame, DataFrame] | None = None, least: int = LEAST) -> DataFrame:
+def density_clusters(rows: DataFrame, fitted: tuple[DataFrame, DataFrame] | None = None, least: int = LEAST, unit: bool = True) -> DataFrame:
     """review_id, cluster of rows (review_id, embedding). `fitted`: points and their spanning tree, of fit_tree()."""
-    pts, tree = fitted or fit_tree(rows)
+    pts, tree = fitted or fit_tree(rows, unit=unit)
     total = pts.agg(F.sum("copies")).first()[0] or 0
     if total > least * MOST_CLUSTERS:
         raise ValueError(f"clusters of {total:,} rows need {-(-total // MOST_CLUSTERS):,} rows at least")
@@ -369,19 +374,13 @@ def density_clusters(rows: DataFrame, fitted: tuple[DataFrame, DataFrame] | None
     sized = named.join(pts.select("point", "copies"), "point").groupBy("label").agg(F.sum("copies").alias("n"), F.min("point").alias("least"))
     numbered = sized.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).alias("cluster"))  # a row a cluster
     of_points = pts.join(named.join(numbered, "label"), "point", "left").select("v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    units = points_of(rows)
+    units = points_of(rows, unit)
     return units.join(of_points, "v", "left").select("review_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def points_of(rows: DataFrame) -> DataFrame:
-    """review_id, v as points() has it; null where there is none."""
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return rows.select("review_id", F.when(length > 0, F.transform("embedding", lambda x: F.round(x.cast("double") / length, 12) + 0.0)).alias("v"))
-
-
-def fit_tree(rows: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
+def fit_tree(rows: DataFrame, k: int = K, trees: int = TREES, leaf: int = LEAF, one_task: int = ONE_TASK, unit: bool = True) -> tuple[DataFrame, DataFrame]:
     """Points and the least spanning tree of their mutual reachabilities: fitted once for any least size."""
-    pts = materialize(points(rows), "points")
+    pts = materialize(points(rows, unit), "points")
     placed = leaves(pts, trees, leaf)
     near = materialize(neighbours(placed, k), "near")
     cores = materialize(core_distances(pts, near, k), "cores")
