@@ -213,19 +213,26 @@ def test_contracts_stop(spark, tmp_path):
 
 def test_paged_ingest_goes_on(spark, tmp_path):
     rows = spark.createDataFrame([(i, None if i == 3 else f"2024-01-{1 + i % 9:02d} 00:00:00") for i in [*range(40), 7, 7]], "id long, t string").selectExpr("id", "cast(t as timestamp) as t")
-    reader, home = paged.PagedReader(rows, "id", "t", 6), f"file://{tmp_path}/i"
-    assert paged.Ingest(spark, reader, home).run(max_pages=2) is None
+    home, listing = f"file://{tmp_path}/i", f"file://{tmp_path}/listing"
+    paged.publish(rows, "id", "t", 6, listing)
+    first = paged.Ingest(spark, listing, home)
+    assert first.run(max_pages=2) is None
+    newest = sorted(([f"2024-01-{1 + i % 9:02d}", i] for i in [*range(40), 7, 7] if i != 3), reverse=True)
+    assert {r.id for r in first.rows().collect()} == {i for _, i in newest[:12]}  # two pages of six
     spark.range(3).selectExpr("id", "current_timestamp() as t").write.parquet(f"{home}/part-000002")  # an orphan
-    assert paged.Ingest(spark, reader, home).run() == "exhausted"
-    found = [r.id for r in paged.Ingest(spark, reader, home).rows().collect()]
-    assert sorted(found) == list(range(40))
+    assert paged.Ingest(spark, listing, home).run() == "exhausted"
+    found = paged.Ingest(spark, listing, home).rows()
+    assert sorted(r.id for r in found.collect()) == list(range(40))  # the state of ids outlived the stop
+    assert {(r.id, r.t) for r in found.collect()} == {(r.id, r.t) for r in rows.collect()}
+    assert paged.Ingest(spark, listing, home).run() == "exhausted" and found.count() == 40
     with pytest.raises(files.ContractError, match="begun with"):
-        paged.Ingest(spark, reader, home, cap=3).run()
-    capped = paged.Ingest(spark, reader, f"{home}c", since="2024-01-02", cap=10)
+        paged.Ingest(spark, listing, home, cap=3)
+    capped = paged.Ingest(spark, listing, f"{home}c", since="2024-01-02", cap=10)
     assert capped.run() == "cap" and capped.rows().count() == 10
-    old = paged.Ingest(spark, reader, f"{home}s", since="2024-01-08")
+    old = paged.Ingest(spark, listing, f"{home}s", since="2024-01-08")
     assert old.run() == "since" and {r.id % 9 for r in old.rows().collect()} == {7, 8}
-    assert paged.Ingest(spark, paged.PagedReader(rows.limit(0), "id", "t", 6), f"{home}e").run() == "exhausted"
+    paged.publish(rows.limit(0), "id", "t", 6, f"{listing}e")
+    assert paged.Ingest(spark, f"{listing}e", f"{home}e").run() == "exhausted"
     waits, asked = [], []
 
     def flaky():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.storage import new_path
 from tidemark.plans.views import duck, view
 from tidemark.sources.files import ContractError, read_config, read_report, read_sheet, read_union, replace_table, write_new, write_report, write_sheet, write_workbook
-from tidemark.sources.paged import Ingest, PagedReader
+from tidemark.sources.paged import Ingest, publish
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,18 +80,31 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paged_ingest(spark: SparkSession, sf_dir: str, since: str = "2024-01-08") -> DataFrame:
     """Events in pages, newest first, until one is older than `since`; stopped after two pages and gone on with, once each."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type")
-    home, size = new_path(spark, "ingest"), -(-events.count() // 6)
-    reader = PagedReader(events, "event_id", "ts", size)
-    if Ingest(spark, reader, home, since=since).run(max_pages=2) is None:
-        Ingest(spark, reader, home, since=since).run()
-    return Ingest(spark, reader, home, since=since).rows().select("event_id", "event_type")
+    listing, home = new_path(spark, "listing"), new_path(spark, "ingest")
+    publish(events, "event_id", "ts", -(-events.count() // 6) or 1, listing)
+    if Ingest(spark, listing, home, since=since).run(max_pages=2) is None:
+        Ingest(spark, listing, home, since=since).run()
+    return Ingest(spark, listing, home, since=since).rows().select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM {events}")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of pages, newest first, with every fourth event listed twice; each is taken once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type")
+    listing = new_path(spark, "listing")
+    publish(events.unionAll(events.where("event_id % 4 = 0")), "event_id", "ts", -(-events.count() // 4) or 1, listing)
+    ingest = Ingest(spark, listing, new_path(spark, "ingest"))
+    if (stop := ingest.run()) != "exhausted":
+        raise ContractError(stop)
+    return ingest.rows().select("event_id", "event_type")
 
 
 @query("SELECT event_id, event_type FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 700")
 def paged_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 700 events, the last page cut: a row cap is the feature."""
-    reader = PagedReader(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"), "event_id", "ts", 300)
-    ingest = Ingest(spark, reader, new_path(spark, "ingest"), cap=700)
+    listing = new_path(spark, "listing")
+    publish(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type"), "event_id", "ts", 300, listing)
+    ingest = Ingest(spark, listing, new_path(spark, "ingest"), cap=700)
     if (stop := ingest.run()) not in ("cap", "exhausted"):
         raise AssertionError(stop)
     return ingest.rows().select("event_id", "event_type")
