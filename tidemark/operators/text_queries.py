@@ -169,7 +169,7 @@ def _dot(a, b):
 
 
 def _centroids(vectors: DataFrame) -> DataFrame:
-    """topic, mean: one row a topic, so it may be broadcast; partial sums are made on the map side."""
+    """topic, mean: one row a topic; partial sums are made on the map side."""
     parts = vectors.where("topic <> -1").select("topic", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
@@ -185,10 +185,14 @@ def centroids(spark, sf_dir):
 
 
 def _assigned(spark, sf_dir):
+    """review_id, own, topic, sim: the nearest topic of each vector. Topics are folded into one row, which each vector meets where it lies."""
     v = view(spark, sf_dir, "vectors")
-    means = F.broadcast(_centroids(v).select(F.col("topic").alias("t"), "mean"))  # a row a topic
-    sims = v.crossJoin(means).select("review_id", F.col("topic").alias("own"), "t", (_dot(F.col("embedding"), F.col("mean")) / (F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(_dot(F.col("mean"), F.col("mean"))))).alias("sim"))
-    return sims.groupBy("review_id", "own").agg(F.min_by(F.struct("t", "sim"), F.struct(-F.round("sim", 6), F.col("t"))).alias("b")).select("review_id", "own", F.col("b.t").alias("topic"), F.col("b.sim").alias("sim"))
+    length = lambda x: F.sqrt(_dot(x, x))
+    table = _centroids(v).agg(F.sort_array(F.collect_list(F.struct("topic", "mean", length(F.col("mean")).alias("length")))).alias("topics"))
+    own = v.crossJoin(table).withColumn("length", length(F.col("embedding")))
+    sims = F.transform("topics", lambda t: F.struct((_dot(F.col("embedding"), t["mean"]) / (F.col("length") * t["length"])).alias("sim"), t["topic"].alias("topic")))
+    best = own.withColumn("sims", sims).withColumn("best", F.array_max(F.transform("sims", lambda s: F.struct(F.round(s["sim"], 6).alias("near"), (-s["topic"]).alias("minus"), s["sim"].alias("sim")))))
+    return best.select("review_id", F.col("topic").alias("own"), (-F.col("best.minus")).alias("topic"), F.col("best.sim").alias("sim"))
 
 
 @query(f"WITH {_MEANS}, {_SIMS} SELECT review_id, topic, round(sim, 5) AS sim FROM b WHERE rn = 1")

@@ -62,11 +62,19 @@ SQL["exclude_id_text"] = "SELECT review_id FROM {docs} d WHERE NOT EXISTS (SELEC
 DUCK["exclude_id_text"] = SQL["exclude_id_text"]
 SQL["exclude_id_text"] = SQL["exclude_id_text"].replace("lower(x.text) = lower(d.content)", "sha2(lower(x.text), 256) = sha2(lower(d.content), 256)")
 SQL["ordinal_check"] = "SELECT a.rn, a.review_id AS left_id, b.review_id AS right_id, a.review_id = b.review_id AS same FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) AS rn FROM {texts}) a JOIN (SELECT review_id, row_number() OVER (ORDER BY app, review_id) AS rn FROM {texts}) b ON a.rn = b.rn"
-SQL["replacement_plan"] = """
-WITH slots AS (SELECT review_id AS slot_id, app, row_number() OVER (PARTITION BY app ORDER BY review_id) AS k FROM {labeled} WHERE review_id % 200 = 0),
-reserve AS (SELECT review_id, app, review_id % 7 <> 0 AS valid, sum(CASE WHEN review_id % 997 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY app ORDER BY review_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unlabeled FROM {labeled} WHERE review_id % 50 = 1),
-usable AS (SELECT review_id, app, row_number() OVER (PARTITION BY app ORDER BY review_id) AS k FROM reserve WHERE valid AND unlabeled = 0)
-SELECT s.slot_id, s.app, u.review_id AS replacement FROM slots s LEFT JOIN usable u ON s.app = u.app AND s.k = u.k"""
+#: Of the ranked sample, slots whose weak label is wrong get the usable reserve rows of their stratum in turn, up to the first that has no label yet (told by a digest).
+SQL["replacement_plan"] = f"""
+WITH r AS (SELECT * FROM ({_RANKED}) AS t WHERE rn <= 60),
+slots AS (SELECT review_id AS slot_id, app, weak_label, row_number() OVER (PARTITION BY app, weak_label ORDER BY rn) AS k FROM r WHERE rn <= 40 AND gold <> weak_label),
+reserve AS (SELECT review_id, app, weak_label, rn, gold = weak_label AS valid, sum(CASE WHEN {rnd(8)} LIKE '0%' THEN 1 ELSE 0 END) OVER (PARTITION BY app, weak_label ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unlabeled FROM r WHERE rn > 40),
+usable AS (SELECT review_id, app, weak_label, row_number() OVER (PARTITION BY app, weak_label ORDER BY rn) AS k FROM reserve WHERE valid AND unlabeled = 0)
+SELECT s.slot_id, s.app, s.weak_label, u.review_id AS replacement FROM slots s LEFT JOIN usable u ON s.app = u.app AND s.weak_label = u.weak_label AND s.k = u.k"""
+DUCK["replacement_plan"] = f"""
+WITH r AS (SELECT * FROM ({_RANKED}) AS t WHERE rn <= 60),
+stop AS (SELECT app, weak_label, coalesce(min(rn) FILTER (rn > 40 AND {rnd(8)} LIKE '0%'), 1000) AS edge FROM r GROUP BY app, weak_label),
+slots AS (SELECT app, weak_label, list(review_id ORDER BY rn) AS ids FROM r WHERE rn <= 40 AND gold <> weak_label GROUP BY app, weak_label),
+usable AS (SELECT r.app, r.weak_label, list(review_id ORDER BY rn) AS ids FROM r JOIN stop USING (app, weak_label) WHERE rn > 40 AND rn < edge AND gold = weak_label GROUP BY r.app, r.weak_label)
+SELECT unnest(s.ids) AS slot_id, s.app, s.weak_label, unnest(list_resize(coalesce(u.ids, []), len(s.ids))) AS replacement FROM slots s LEFT JOIN usable u ON s.app = u.app AND s.weak_label = u.weak_label"""
 SQL["partition_bijection"] = "WITH pairs AS (SELECT DISTINCT topic AS old, topic % 4 AS new FROM {reviews}) SELECT old, new, count(*) OVER (PARTITION BY old) = 1 AND count(*) OVER (PARTITION BY new) = 1 AS one_to_one FROM pairs"
 
 # ---- aggregations
