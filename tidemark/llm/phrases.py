@@ -46,6 +46,8 @@ BITS, BYTES_A_BUCKET, PART_BITS = 28, 8, 20
 TOGETHER = 2 << 20
 #: Hashes that are gathered before they are counted, and projections that a task sorts, about.
 GATHER, SORTED = 2 << 20, 1 << 20
+#: Places that a language's phrases are dealt to when they meet its number of words.
+SALTS = 256
 
 _KINDS = np.ones(256, np.uint8)
 _KINDS[[0x20, 0x09]] = 0
@@ -284,11 +286,17 @@ def collocations(phrases: DataFrame, totals: DataFrame, top: int = TOP, absorb:
     cuts = cuts.select("lang", "phrase", "a", "k", F.expr("substring_index(phrase, ' ', k)").alias("head"), F.expr("substring_index(phrase, ' ', k - size)").alias("tail"))
     heads = phrases.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
     tails = phrases.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
-    scored = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(totals, "lang")
+    # A language may have most phrases: its total is there SALTS times, and its phrases are dealt to them.
+    dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
+    scored = parts.join(dealt, ["lang", "salt"])
     scored = scored.withColumn("score", F.expr("(cast(a as decimal(16)) * cast(n as decimal(18)) * cast(1000 as decimal(4))) div (cast(l as decimal(18)) * cast(r as decimal(18)))"))
     worst = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by_part = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(SALTS))).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # Only the best of each part can be among a language's best.
+    few = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("place", F.row_number().over(by_part)).where(F.col("place") <= top)
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
