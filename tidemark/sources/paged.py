@@ -32,7 +32,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from tidemark.operators.ordering import numbered
-from tidemark.plans.storage import exists, read_text, write_text
+from tidemark.plans.storage import exists, read_text, settings, write_text
 from tidemark.sources.files import ContractError
 
 REASONS = ("since", "cap", "exhausted")
@@ -116,6 +116,8 @@ class Ingest:
     home: str
     since: str | None = None
     cap: int | None = None
+    #: Parts of the state of ids, each a store that every batch opens; fixed once a run has begun.
+    state_parts: int = 8
 
     def __post_init__(self):
         self.of = json.loads(read_text(self.spark, f"{self.listing}/listing.json"))
@@ -174,7 +176,8 @@ class Ingest:
                 halt.set()
 
         once = source.dropDuplicates([self.of["id"]])
-        query = once.writeStream.foreachBatch(put).option("checkpointLocation", f"{self.home}/checkpoint").start()
+        with settings(self.spark, {"spark.sql.shuffle.partitions": str(self.state_parts)}):  # the query keeps what it is started with
+            query = once.writeStream.foreachBatch(put).option("checkpointLocation", f"{self.home}/checkpoint").start()
 
         def drain() -> None:
             try:
