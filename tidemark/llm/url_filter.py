@@ -11,7 +11,10 @@ Defined results: a null url, or one without `://`, has empty host and path and
 fits no rule; without edges to judged addresses the verdict is allow; repeated
 rows are judged alike; an empty table gives an empty result. Only the columns
 named are read, so others don't matter. Edge ends are compared as addresses:
-host, path and query, without scheme and fragment.
+host, path and query, without scheme and fragment. Links inside HTML comments
+don't count, a comment that isn't closed runs to the page's end. In targets the
+five basic named references and numeric ones are decoded, once; others, and
+numbers of no character, stay as they are.
 """
 
 from __future__ import annotations
@@ -57,6 +60,27 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
 _LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
+_COMMENT = r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))"
+_REFERENCE = r"&(?:amp|lt|gt|quot|apos|#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6});"
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def _character(reference: Column) -> Column:
+    """What one reference stands for; itself if its number is no character's."""
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
+    code = F.when(F.lower(reference).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    out = F.when(reference.startswith("&#"), F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")), reference))
+    for name, character in _NAMED.items():
+        out = out.when(reference == name, F.lit(character))
+    return out
+
+
+def decode_references(text: Column) -> Column:
+    """Text with its character references decoded, each once."""
+    between, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(_character(b), F.lit("")))), "")).otherwise(text)
+
 
 def resolve(target: Column, host: Column, path: Column) -> Column:
     """The absolute form of a link's target on a page; null for fragments. Dot segments stay as they are."""
@@ -77,8 +101,10 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     # Most pages have neither; a plain search is cheaper than the patterns.
     lowered = F.translate(html, _UPPER, _LOWER)
     named = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in ("canonical", "http-equiv")])
-    found = F.concat(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    targets = pages.where(named).select(url.alias("src"), F.explode(found).alias("dst"))
+    shown = F.regexp_replace(html, _COMMENT, " ")
+    found = F.concat(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(shown, F.lit(_REFRESH), F.lit(1)))
+    raw = pages.where(named).select(url.alias("src"), F.explode(found).alias("dst"))
+    targets = raw.select("src", decode_references(F.col("dst")).alias("dst"))
     resolved = targets.select(address(F.col("src")).alias("src"), address(resolve(F.col("dst"), host_of(F.col("src")), path_of(F.col("src")))).alias("dst"))
     return resolved.where("src <> '' and dst <> ''")
 
@@ -127,7 +153,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Aliases spread through the recursive part; on tables without links it is empty.
 OP5_SQL = r"""
 WITH RECURSIVE u AS (
-  SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, regexp_replace(html, '(?s)<!--(?:-?>|.*?(?:--!?>|\z))', ' ', 'g') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
   SELECT page_id, html,
          translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -141,11 +167,18 @@ WITH RECURSIVE u AS (
     list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
     regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS raw
   FROM p
+), pieces AS (
+  SELECT host, path, src, string_split_regex(raw, '&(?:amp|lt|gt|quot|apos|#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6});') AS parts,
+         [CASE r WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN '''' ELSE
+           coalesce([chr(CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c END) for c in [CASE WHEN lower(r) LIKE '&#x%' THEN CAST('0x' || regexp_extract(r, '([0-9a-fA-F]+);', 1) AS INT) WHEN r LIKE '&#%' THEN CAST(regexp_extract(r, '([0-9]+);', 1) AS INT) END]][1], r) END
+          for r in regexp_extract_all(raw, '&(?:amp|lt|gt|quot|apos|#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6});')] AS found
+  FROM targets
+), decoded AS (SELECT host, path, src, array_to_string([parts[i] || coalesce(found[i], '') for i in range(1, len(parts) + 1)], '') AS raw FROM pieces
 ), whole AS (
   SELECT src, CASE WHEN raw = '' OR raw LIKE '#%' THEN NULL WHEN strpos(raw, '://') > 0 THEN raw WHEN raw LIKE '//%' THEN 'http:' || raw
                    WHEN raw LIKE '/%' THEN 'http://' || host || raw WHEN raw LIKE '?%' THEN 'http://' || host || path || raw
                    ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || raw END AS t
-  FROM targets
+  FROM decoded
 ), edges AS (
   SELECT src, translate(regexp_extract(substr(t, strpos(t, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
               || regexp_extract(substr(t, strpos(t, '://') + 3), '^[^/?#]*([^#]*)', 1) AS dst
