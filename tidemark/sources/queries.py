@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.storage import new_path
 from tidemark.plans.views import duck, view
-from tidemark.sources.files import ContractError, read_config, read_report, read_sheet, read_union, replace_table, write_new, write_report, write_sheet, write_workbook
+from tidemark.sources.files import ContractError, read_config, read_report, read_sheet, read_union, replace_table, write_report, write_sheet, write_workbook
 from tidemark.sources.paged import Ingest, publish
 
 QUERIES, ORACLES = {}, {}
@@ -108,15 +108,3 @@ def paged_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     if (stop := ingest.run()) not in ("cap", "exhausted"):
         raise AssertionError(stop)
     return ingest.rows().select("event_id", "event_type")
-
-
-@query("SELECT h.sha AS h, n FROM (SELECT sha256(text) AS sha, length(any_value(text)) AS n FROM {documents} WHERE text IS NOT NULL GROUP BY 1) AS h")
-def embed_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache of results by digest of the text: one half is computed and kept, then only what it lacks."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").cast("long").alias("n"))
-    distinct = texts.groupBy("h").agg(F.max("n").alias("n"), F.min("doc_id").alias("first"))
-    home = new_path(spark, "cache")
-    had = write_new(distinct.where("first % 2 = 0").select("h", "n"), f"{home}/part-0")
-    lacking = distinct.join(had.select(F.col("h").alias("known")), F.col("h") == F.col("known"), "left_anti").select("h", "n")
-    write_new(lacking, f"{home}/part-1")
-    return read_union(spark, [f"{home}/part-0", f"{home}/part-1"])
