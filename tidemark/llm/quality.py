@@ -6,8 +6,10 @@ n-gram counts over their number (times SCALE), a bias and a feature for the
 power of two of its length, and its score is the sparse dot product's sigmoid.
 
 Training takes at most MAX_TRAIN labelled rows, those with the smallest hashes
-of their id: a documented bound, so the sample fits one task and the model (1 MB)
-is all that reaches the driver. Scoring reads every byte of every text.
+of their id, and of these, in that order, as many as have MAX_ENTRIES n-grams
+together: documented bounds, so the sample takes 8 bytes an entry of one task,
+however long its texts are, and the model (1 MB) is all that reaches the driver.
+Scoring reads every byte of every text.
 
 Defined results: null and empty texts are scored by bias and length alone; rows
 without label, or with null label, train nothing; of several labels for an id
@@ -28,6 +30,8 @@ from tidemark.llm.shared import crc32_bucket, small_batches
 
 BITS, SCALE, EPOCHS, MAX_TRAIN = 18, 10.0, 4, 8000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+#: Distinct n-grams of a document, summed over the sample's; the first document always counts.
+MAX_ENTRIES = 1 << 24
 THRESHOLD = 0.3
 #: The first weights are the bias and the length features; n-grams hash to the rest.
 _FIXED = 64
@@ -87,7 +91,8 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     """Follow-the-regularised-leader (proximal) with per-coordinate rates, L1 and L2."""
     z, n, w = (np.zeros(1 << BITS) for _ in range(3))
     for _ in range(epochs):
-        for index, value, label in examples:
+        for short, single, label in examples:
+            index, value = short.astype(np.int64), single.astype(np.float64)
             zi, root = z[index], np.sqrt(n[index])
             wi = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + root) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(wi @ value, -35, 35)))
@@ -100,8 +105,8 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most max_train labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_entries: int = MAX_ENTRIES) -> Model:
+    """Fit on at most max_train labelled documents, of at most max_entries n-grams together."""
     order = F.xxhash64(F.lit(7), F.col("i"))
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null")
     sample = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(order, "i").limit(max_train)
@@ -116,10 +121,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     def fit(batches):
-        examples = []
-        for b in batches:
+        examples, entries = [], 0
+        for b in batches:  # read to the end; what is beyond the bound isn't kept
             for y, index, value in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                examples.append((index.values.to_numpy().astype(np.int64), value.values.to_numpy().astype(np.float64), int(y > 0)))
+                entries += len(index)
+                if not examples or entries <= max_entries:
+                    examples.append((index.values.to_numpy().copy(), value.values.to_numpy().copy(), int(y > 0)))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([ftrl(examples).astype("<f4").tobytes()], pa.binary())})
 
     rows = found.select("i", "t", "y").mapInArrow(vectors, "i long, y int, index array<int>, value array<float>")
