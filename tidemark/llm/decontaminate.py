@@ -188,11 +188,13 @@ class Items:
         shared = np.unique(seeds[self.seed[at] == seeds])
         low, high = np.searchsorted(self.seed, shared, "left"), np.searchsorted(self.seed, shared, "right")
         hits = _pick(low, high - low)
+        hits = hits[np.argsort(self.item[hits], kind="stable")]
+        found, first = np.unique(self.item[hits], return_index=True)
         bounds = []
-        for i in np.unique(self.item[hits]).tolist():
+        for i, begins in zip(found.tolist(), np.split(self.where[hits], first[1:]), strict=False):
             n = len(self.words[i])
-            edges = np.bincount(self.where[hits[self.item[hits] == i]], minlength=n + 1)
-            ends = np.bincount(self.where[hits[self.item[hits] == i]] + self.min_tile, minlength=n + 1)
+            edges = np.bincount(begins, minlength=n + 1)
+            ends = np.bincount(begins + self.min_tile, minlength=n + 1)
             bounds.append((-float((np.cumsum(edges - ends)[:n] > 0).sum()) / n, i))
         best = (least, None)
         for bound, i in sorted(bounds):
