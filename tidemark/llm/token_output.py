@@ -106,7 +106,9 @@ class PieceEncoder:
     mark; so a text cut there has the ids of its pieces, in a row. Each new piece
     is encoded by the library once; pieces are equal if their bytes are. Added
     tokens are found before the pre-tokenizer cuts, so a text that contains one
-    is given to the library as a whole, as those with wide blanks are.
+    is given to the library as a whole, as those with wide blanks are. A file
+    that isn't byte-level with the common pattern, or that changes texts first,
+    is refused.
     """
 
     #: Pieces remembered, and bytes of them; beyond either, those that were met again since stay. A longer piece isn't remembered.
@@ -119,7 +121,13 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
-            added = [t["content"].encode() for t in json.load(f).get("added_tokens") or [] if t["content"]]
+            said = json.load(f)
+        cutter, tokens = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+        if said.get("normalizer") is not None or cutter.get("type") != "ByteLevel" or not cutter.get("use_regex", True) or cutter.get("add_prefix_space", True):
+            raise ValueError(f"{file} isn't a byte-level vocabulary whose texts can be encoded in pieces")
+        if wide := [t["content"] for t in tokens if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"{file} has added tokens that look beyond themselves: {wide}")
+        added = [t["content"].encode() for t in tokens if t["content"]]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token, one a character in byte-level vocabularies
