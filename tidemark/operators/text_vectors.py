@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import density
-from tidemark.plans.storage import materialize
+from tidemark.plans.storage import WIDE, materialize, settings
 from tidemark.plans.views import view
 
 QUERIES = {}
 PARTS, BUCKETS, DIMENSIONS, SEED = ("word", "char"), 1 << 13, 256, 3
+#: Texts that are projected at once.
+AT_ONCE = 64
 WORD = re.compile(r"\w+")
 
 
@@ -66,16 +69,51 @@ def bucket(part: str, term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "replace")) % BUCKETS + BUCKETS * PARTS.index(part)
 
 
+def spaced(words: list[str]) -> np.ndarray:
+    """Code points of the words with a blank between and around them."""
+    return np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), np.uint32)
+
+
+def runs(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """3 to 5, and where runs of that length start that char_grams() has: those with blanks at their ends alone."""
+    inside = points != 32
+    for n in (3, 4, 5):
+        fits = np.ones(max(0, len(points) - n + 1), bool)
+        for i in range(1, n - 1):
+            fits &= inside[i : i + len(fits)]
+        yield n, np.flatnonzero(fits)
+
+
+#: What crc32 does with a byte: of one byte's crc, without what its start and end add.
+_TABLE = np.array([~zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFFFFFF for i in range(256)], np.int64).astype(np.uint32)
+
+
+def _run_crcs(points: np.ndarray) -> np.ndarray:
+    """crc32 of the UTF-8 of each of runs(), all runs a byte at a time."""
+    two, three, four = points >= 0x80, points >= 0x800, points >= 0x10000
+    tail = lambda shift: 0x80 | (points >> shift & 0x3F)
+    lead = np.select([four, three, two], [0xF0 | points >> 18, 0xE0 | points >> 12, 0xC0 | points >> 6], points)
+    steps = [(lead, None), (tail(12), four), (tail(6), three), (tail(0), two)] if two.any() else [(points, None)]
+    out = []
+    for n, starts in runs(points):
+        crc = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+        for i in range(n):
+            for byte, there in steps:
+                own = _TABLE[(crc ^ byte[starts + i]) & 0xFF] ^ (crc >> 8)
+                crc = own if there is None else np.where(there[starts + i], own, crc)
+        out.append(~crc)
+    return np.concatenate(out)
+
+
 def bucket_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets in ascending order, and how often each occurs."""
-    found: Counter = Counter()
-    for part, counts in terms(text).items():
-        for term, n in counts.items():
-            found[bucket(part, term)] += n
-    at = np.fromiter(found.keys(), np.int32, len(found))
-    n = np.fromiter(found.values(), np.int32, len(found))
-    order = np.argsort(at)
-    return at[order], n[order]
+    """Buckets in ascending order, and how often each occurs: those of all terms()."""
+    lowered = (text or "").lower()
+    words = WORD.findall(lowered)
+    crcs = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+    crcs += [zlib.crc32(f" {b}".encode("utf-8", "replace"), a) for a, b in zip(crcs, words[1:])]
+    counts = np.bincount(np.concatenate([np.array(crcs, np.int64) % BUCKETS, _run_crcs(spaced(lowered.split())).astype(np.int64) % BUCKETS + BUCKETS]), minlength=len(PARTS) * BUCKETS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), counts[at].astype(np.int32)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -83,24 +121,35 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
+def _parts(lists: pa.ListArray, kind: type) -> list[np.ndarray]:
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(kind), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if len(lists) else []
+
+
 def counted(rows: DataFrame, text_col: str = "content") -> DataFrame:
     """rows with `at` and `n` (buckets, and how often each occurs) instead of the text, written once."""
 
     @F.arrow_udf("struct<at: array<int>, n: array<int>>")
     def count(texts: pa.Array) -> pa.Array:
-        found = [bucket_counts(t) for t in texts.to_pylist()]
+        found = [bucket_counts(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([_lists([a for a, _ in found], pa.int32()), _lists([n for _, n in found], pa.int32())], ["at", "n"])
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
     dealt = rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)  # a table of few splits
-    return materialize(dealt.withColumn("found", count(text_col)).drop(text_col).select("*", "found.*").drop("found"), "buckets")
+    return materialize(dealt.withColumn("found", count(text_col)).drop(text_col).select("*", "found.*").drop("found"), "buckets", WIDE)
 
 
 def weights(rows: DataFrame, min_df: int = 1) -> np.ndarray:
     """idf of each bucket, 0 where fewer than min_df rows have it."""
     df = np.zeros(len(PARTS) * BUCKETS)
-    for r in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # a row a bucket
-        df[r.at] = r["count"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum((np.bincount(batch.column(0).flatten(), minlength=len(df)) for batch in batches), np.zeros(len(df), np.int64))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+
+    with settings(rows.sparkSession, WIDE):
+        for r in rows.select("at").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+            df[r.at] = r.n
     return np.where(df >= min_df, np.log((1.0 + rows.count()) / (1.0 + df)) + 1.0, 0.0)
 
 
@@ -121,18 +170,18 @@ def sparse_vectors(rows: DataFrame, idf: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
     def vectors(at: pa.Array, n: pa.Array) -> pa.Array:
-        found = [weigh(np.array(a, np.int64), np.array(c, float), known.value) for a, c in zip(at.to_pylist(), n.to_pylist(), strict=True)]
+        found = [weigh(a, c, known.value) for a, c in zip(_parts(at, np.int64), _parts(n, float), strict=True)]
         m = len(found)
         return pa.StructArray.from_arrays([pa.array(np.zeros(m), pa.int8()), pa.array(np.full(m, size), pa.int32()), _lists([a for a, _ in found], pa.int32()), _lists([x for _, x in found], pa.float64())], ["type", "size", "indices", "values"])
 
-    written = materialize(rows.withColumn("features", vectors("at", "n")).drop("at", "n"), "features")
+    written = materialize(rows.withColumn("features", vectors("at", "n")).drop("at", "n"), "features", WIDE)
     schema = T.StructType([T.StructField("features", VectorUDT()) if f.name == "features" else f for f in written.schema])
     return rows.sparkSession.read.schema(schema).parquet(*{f.rsplit("/", 1)[0] for f in written.inputFiles()}) if written.inputFiles() else rows.sparkSession.createDataFrame([], schema)
 
 
 @lru_cache(1)
 def _signs(dimensions: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2, (len(PARTS) * BUCKETS, dimensions), dtype=np.int8) * 2 - 1
+    return (np.random.default_rng(SEED).integers(0, 2, (len(PARTS) * BUCKETS, dimensions), dtype=np.int8) * 2 - 1).astype(float)
 
 
 def embed(rows: DataFrame, text_col: str = "content", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -143,13 +192,18 @@ def embed(rows: DataFrame, text_col: str = "content", dimensions: int = DIMENSIO
     @F.arrow_udf("array<float>")
     def project(at: pa.Array, n: pa.Array) -> pa.Array:
         out = np.zeros((len(at), dimensions), np.float32)
-        for i, (a, c) in enumerate(zip(at.to_pylist(), n.to_pylist(), strict=True)):
-            a, x = weigh(np.array(a, np.int64), np.array(c, float), idf.value)
-            v = x.astype(np.float32) @ _signs(dimensions)[a] if len(a) else out[i]
-            out[i] = v / (np.sqrt((v * v).sum()) or 1.0)
+        for lo in range(0, len(at), AT_ONCE):
+            both = zip(_parts(at.slice(lo, AT_ONCE), np.int64), _parts(n.slice(lo, AT_ONCE), float), strict=True)
+            wide = np.zeros((len(out[lo : lo + AT_ONCE]), len(idf.value)))
+            for row, (a, c) in zip(wide, both, strict=True):
+                a, x = weigh(a, c, idf.value)
+                row[a] = np.round(x * 2.0**40) / 2.0**40  # sums are exact in any order, so copies of a text have one vector
+            v = wide @ _signs(dimensions)
+            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            out[lo : lo + AT_ONCE] = v / np.where(length > 0, length, 1)
         return _lists(list(out), pa.float32())
 
-    return buckets.withColumn("embedding", project("at", "n")).drop("at", "n")
+    return materialize(buckets.withColumn("embedding", project("at", "n")).drop("at", "n"), "embedded", WIDE)  # written so that tasks get a little at a time
 
 
 @query
@@ -161,4 +215,4 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def topics_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics found from texts alone: review_id, cluster by density of the texts' vectors; -1: none."""
-    return density.density_clusters(materialize(embed_texts(spark, sf_dir), "embedded"), least=5)
+    return density.density_clusters(embed_texts(spark, sf_dir), least=5)
