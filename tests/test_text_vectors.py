@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import ml, text_vectors as V
+from tidemark.operators import checks, ml, text_vectors as V
 
 RNG = random.Random(8)
 
@@ -72,3 +74,40 @@ def test_features_have_names(spark):
     wanted = [V.bucket("word", "wolke"), V.bucket("word", "zins"), V.bucket("char", "olk")]
     assert {r.at: r.feature for r in ml.bucket_names(rows, wanted).collect()} == dict(zip(wanted, ["word__wolke", "word__zins", "char__olk"]))
     assert ml.bucket_names(rows.limit(0), wanted).agg(F.count("*")).first()[0] == 0
+
+
+ODD = [None, "", " ", "a", "ab\x00c d", "é ü　ﬁ 漢字かな 😀😀a i\x85x", "".join(chr(RNG.randrange(1, 0xD000)) for _ in range(9000))] + ["".join(RNG.choice("aé漢😀 \n\x00\xa0_-") for _ in range(RNG.randrange(60))) for _ in range(300)]
+
+
+def test_document_frequencies_are_given_in_parts(monkeypatch):
+    """Counts equal to plain ones for odd characters, more of them than the table holds, and low bounds, which no batch of terms passes by more than a text."""
+    rows = [(t or "").lower() for t in ODD]
+    wanted = Counter()
+    for t in rows:
+        words = [w for w in re.split(r"\W+", t, flags=re.ASCII) if w]
+        own = {("word", w) for w in words} | {("word", f"{a} {b}") for a, b in zip(words, words[1:])}
+        for word in filter(None, re.split(r"[ \t\n\f\r]+", t)):
+            own |= {("char", f" {word} "[i : i + n]) for n in (3, 4, 5) for i in range(len(word) + 3 - n)}
+        wanted.update(own)
+    for runs, words in ((1 << 21, 1 << 17), (500, 100)):
+        monkeypatch.setattr(checks, "HELD_RUNS", runs)
+        monkeypatch.setattr(checks, "HELD_WORDS", words)
+        found, largest = Counter(), 0
+        for part in checks._document_frequencies(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["content"])])):
+            largest = max(largest, len(part))
+            for kind, term, n in zip(*(c.to_pylist() for c in part.columns)):
+                found[kind, term] += n
+        assert found == wanted and (runs > 500 or largest < 30_000)
+
+
+def test_buckets_of_odd_texts_and_vectors_of_copies(spark):
+    for t in ODD:
+        own = Counter()
+        for part, found in V.terms(t).items():
+            for term, n in found.items():
+                own[V.bucket(part, term)] += n
+        at, n = V.bucket_counts(t)
+        assert dict(zip(at.tolist(), n.tolist())) == own and at.tolist() == sorted(own)
+    rows = [*texts(70), *["river0 stone1 lamp2 " * 9] * 70]
+    found = V.embed(spark.createDataFrame(list(enumerate(rows)), "i int, content string").repartition(3)).where("i >= 70").select("embedding").distinct()
+    assert found.count() == 1

@@ -5,12 +5,17 @@ Problems are rows, so that all of them are seen at once; nothing stops at the fi
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ml import char_grams
+from tidemark.operators import text_vectors
 from tidemark.plans.storage import new_path
 from tidemark.plans.views import duck, view
 from tidemark.sources.files import read_sheet, write_sheet
@@ -174,20 +179,60 @@ def select_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"w AS (SELECT review_id, list_filter(regexp_split_to_array(lower(content), '\W+'), lambda x: x <> '') AS words, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS tokens FROM {texts})"
 
 
+#: Runs and words that a task holds before it gives their counts, a text's beyond that; bits of a character in a run's number.
+HELD_RUNS, HELD_WORDS, BITS = 1 << 21, 1 << 17, 12
+_NOT_WORD, _BLANK = re.compile(r"\W+", re.ASCII), re.compile(r"[ \t\n\f\r]+")  # as the SQL's are
+
+
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, term, df: how many of some texts have each term, whenever enough terms are held; texts in lower case, one by one.
+
+    A character run is a number of its characters' places in a table of those seen; a text with too many characters for the table is taken run by run.
+    """
+    words, others, runs, held = Counter(), Counter(), [], 0
+    place, seen = np.zeros(0x110000, np.int16), [0]
+
+    def given() -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *runs]), return_counts=True)
+        spelt = np.ascontiguousarray(np.array(seen, np.uint32)[(keys[:, None] >> (BITS * np.arange(5))) & ((1 << BITS) - 1)]).view("<U5")[:, 0] if len(keys) else []
+        for kind, terms, counts in (("char", spelt, n), ("char", list(others), list(others.values())), ("word", list(words), list(words.values()))):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["kind", "term", "df"])
+        runs.clear(), words.clear(), others.clear(), seen.__delitem__(slice(1, None)), place.fill(0)
+
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            own = [w for w in _NOT_WORD.split(text) if w]
+            words.update({*own, *(f"{a} {b}" for a, b in zip(own, own[1:]))})
+            points = text_vectors.spaced([t for t in _BLANK.split(text) if t])
+            new = np.unique(points[place[points] == 0])
+            if len(seen) + len(new) > 1 << BITS:
+                yield from given()
+                held, new = 0, np.unique(points)
+            if len(new) >= 1 << BITS or not points.all():  # the number 0 is none
+                others.update({points[i : i + n].tobytes().decode("utf-32-le") for n, starts in text_vectors.runs(points) for i in starts})
+            else:
+                place[new] = np.arange(len(seen), len(seen) + len(new))
+                seen.extend(new.tolist())
+                at = place[points].astype(np.int64)
+                numbers = [sum(at[starts + i] << (BITS * i) for i in range(n)) for n, starts in text_vectors.runs(points)]
+                runs.append(np.unique(np.concatenate(numbers)))
+                held += len(runs[-1])
+            if held >= HELD_RUNS or len(words) + len(others) >= HELD_WORDS:
+                yield from given()
+                held = 0
+    yield from given()
+
+
 @query(
     rf"WITH {_WORDS}, p AS (SELECT review_id, ' ' || unnest(tokens) || ' ' AS t FROM w), g AS (SELECT DISTINCT review_id, 'char' AS kind, substr(t, i, n) AS term FROM (SELECT review_id, t, unnest(range(3, 1 + least(5, length(t)))) AS n FROM p) AS x, LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i) AS y UNION SELECT DISTINCT review_id, 'word', unnest(words) FROM w UNION SELECT DISTINCT review_id, 'word', unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w), n AS (SELECT count(*) AS n FROM {{texts}}) SELECT kind, term, count(*) AS df, round(ln((1e0 + any_value(n)) / (1e0 + count(*))) + 1e0, 9) AS idf FROM g, n GROUP BY kind, term HAVING count(*) >= 2"
 )
 def tfidf_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and weight of all word uni- and bigrams and character runs of 3 to 5 that two documents have."""
     texts = view(spark, sf_dir, "texts")
-    words = F.filter(F.split(F.lower("content"), r"\W+"), lambda w: w != "")
-    # Both halves are made once a text; an index into the words would make them again for each pair.
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = texts.select(words.alias("words"), F.array_distinct(char_grams(F.coalesce("content", F.lit("")))).alias("chars"))
-    both = terms.select("chars", F.array_distinct(F.when(F.size("words") > 1, F.concat("words", pairs)).otherwise(F.col("words"))).alias("words"))
-    rows = both.select(F.lit("word").alias("kind"), F.explode("words").alias("term")).unionAll(both.select(F.lit("char"), F.explode("chars")))
+    counts = texts.select(F.lower("content").alias("content")).mapInArrow(_document_frequencies, "kind string, term string, df long")
     n = texts.count()
-    df = rows.groupBy("kind", "term").agg(F.count("*").alias("df")).where("df >= 2")
+    df = counts.groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df >= 2")
     return df.select("kind", "term", "df", F.round(F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1.0, 9).alias("idf"))
 
 
