@@ -111,3 +111,26 @@ def test_buckets_of_odd_texts_and_vectors_of_copies(spark):
     rows = [*texts(70), *["river0 stone1 lamp2 " * 9] * 70]
     found = V.embed(spark.createDataFrame(list(enumerate(rows)), "i int, content string").repartition(3)).where("i >= 70").select("embedding").distinct()
     assert found.count() == 1
+
+
+def test_models_read_wide_rows_a_few_at_a_time(spark, monkeypatch):
+    """The rows of a model are kept once, by the model, and few of them are decoded at once."""
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(rows, c):
+        seen.append((int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")), rows.storageLevel.useMemory))
+        raise Fitted
+
+    monkeypatch.setattr(ml, "fit", fit)
+    train = spark.createDataFrame([(i, float(i % 2), 1.0, t) for i, t in enumerate(texts(12))], "review_id int, label double, weight double, content string")
+    counted = V.counted(train)
+    monkeypatch.setattr(ml, "_split", lambda *_: (counted, counted))
+    for query in (ml.logreg_pred, ml.top_features):
+        try:
+            query(spark, "")
+        except Fitted:
+            pass
+    assert len(seen) == 2 and all(n <= 128 and not kept for n, kept in seen)

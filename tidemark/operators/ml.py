@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import text_vectors
-from tidemark.plans.storage import materialize, new_path
+from tidemark.plans.storage import WIDE, materialize, new_path, settings
 from tidemark.plans.views import view
 
 
@@ -81,16 +81,15 @@ def _features(data: DataFrame, idf: np.ndarray) -> DataFrame:
     """Vectors, written once: neither the regression's passes nor the next model compute them again."""
     rows = text_vectors.sparse_vectors(data, idf)
     tasks = min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
-    return (rows.repartition(max(1, tasks)) if rows.rdd.getNumPartitions() < tasks else rows).persist()
+    return rows.repartition(max(1, tasks)) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def logreg_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, held_out = _split(spark, sf_dir)
     idf = text_vectors.weights(train, MIN_DF[0])
-    rows = _features(train, idf)
-    model = fit(rows, C[0])
-    rows.unpersist()
-    return model.transform(text_vectors.sparse_vectors(held_out, idf)).select("review_id", "label", "prediction")
+    with settings(spark, WIDE):
+        model = fit(_features(train, idf), C[0])  # which keeps the rows in blocks; kept here too, they would be there twice
+    return materialize(model.transform(text_vectors.sparse_vectors(held_out, idf)).select("review_id", "label", "prediction"), "predictions", WIDE)
 
 
 def bucket_names(texts: DataFrame, wanted: list[int]) -> DataFrame:
@@ -110,8 +109,8 @@ def top_features(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """label, sign, place, feature, coefficient: the terms that speak most for and against each label; a bucket has the name of its most frequent term."""
     train, _ = _split(spark, sf_dir)
     rows = _features(train, text_vectors.weights(train, MIN_DF[0]))
-    coefficients = fit(rows, C[0]).coefficientMatrix.toArray()  # a row a label
-    rows.unpersist()
+    with settings(spark, WIDE):
+        coefficients = fit(rows, C[0]).coefficientMatrix.toArray()  # a row a label
     out = []
     for label, own in enumerate(coefficients):
         order = np.argsort(own, kind="stable")
@@ -128,7 +127,7 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {}
     for min_df in MIN_DF:
         idf = text_vectors.weights(train, min_df)
-        parts[min_df] = _features(train, idf), _features(held_out, idf)
+        parts[min_df] = _features(train, idf).persist(), _features(held_out, idf).persist()
 
     def point(at: tuple[int, float]) -> tuple[float, float, float]:
         ours, theirs = parts[at[0]]
