@@ -121,7 +121,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
 
 
-def _parts(lists: pa.ListArray, kind: type) -> list[np.ndarray]:
+def parts_of(lists: pa.ListArray, kind: type) -> list[np.ndarray]:
     return np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(kind), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if len(lists) else []
 
 
@@ -138,8 +138,8 @@ def counted(rows: DataFrame, text_col: str = "content") -> DataFrame:
     return materialize(dealt.withColumn("found", count(text_col)).drop(text_col).select("*", "found.*").drop("found"), "buckets", WIDE)
 
 
-def weights(rows: DataFrame, min_df: int = 1) -> np.ndarray:
-    """idf of each bucket, 0 where fewer than min_df rows have it."""
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How many rows have each bucket."""
     df = np.zeros(len(PARTS) * BUCKETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,16 @@ def weights(rows: DataFrame, min_df: int = 1) -> np.ndarray:
     with settings(rows.sparkSession, WIDE):
         for r in rows.select("at").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a bucket
             df[r.at] = r.n
-    return np.where(df >= min_df, np.log((1.0 + rows.count()) / (1.0 + df)) + 1.0, 0.0)
+    return df
+
+
+def idf_of(df: np.ndarray, rows: int, min_df: int = 1) -> np.ndarray:
+    """idf of each bucket, 0 where fewer than min_df rows have it."""
+    return np.where(df >= min_df, np.log((1.0 + rows) / (1.0 + df)) + 1.0, 0.0)
+
+
+def weights(rows: DataFrame, min_df: int = 1) -> np.ndarray:
+    return idf_of(frequencies(rows), rows.count(), min_df)
 
 
 def weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +179,7 @@ def sparse_vectors(rows: DataFrame, idf: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
     def vectors(at: pa.Array, n: pa.Array) -> pa.Array:
-        found = [weigh(a, c, known.value) for a, c in zip(_parts(at, np.int64), _parts(n, float), strict=True)]
+        found = [weigh(a, c, known.value) for a, c in zip(parts_of(at, np.int64), parts_of(n, float), strict=True)]
         m = len(found)
         return pa.StructArray.from_arrays([pa.array(np.zeros(m), pa.int8()), pa.array(np.full(m, size), pa.int32()), _lists([a for a, _ in found], pa.int32()), _lists([x for _, x in found], pa.float64())], ["type", "size", "indices", "values"])
 
@@ -193,7 +202,7 @@ def embed(rows: DataFrame, text_col: str = "content", dimensions: int = DIMENSIO
     def project(at: pa.Array, n: pa.Array) -> pa.Array:
         out = np.zeros((len(at), dimensions), np.float32)
         for lo in range(0, len(at), AT_ONCE):
-            both = zip(_parts(at.slice(lo, AT_ONCE), np.int64), _parts(n.slice(lo, AT_ONCE), float), strict=True)
+            both = zip(parts_of(at.slice(lo, AT_ONCE), np.int64), parts_of(n.slice(lo, AT_ONCE), float), strict=True)
             wide = np.zeros((len(out[lo : lo + AT_ONCE]), len(idf.value)))
             for row, (a, c) in zip(wide, both, strict=True):
                 a, x = weigh(a, c, idf.value)
