@@ -134,3 +134,12 @@ def test_models_read_wide_rows_a_few_at_a_time(spark, monkeypatch):
         except Fitted:
             pass
     assert len(seen) == 2 and all(n <= 128 and not kept for n, kept in seen)
+
+
+def test_packed_counts_are_those_of_lists(spark):
+    rows = spark.createDataFrame(list(enumerate([*ODD[:40], *texts(20)])), "i int, content string")
+    lists, found = V.counted(rows), V.packed(rows)
+    wanted = {r.i: list(zip(r.at, r.n)) for r in lists.collect()}
+    assert {r.i: np.frombuffer(r.counts, V._PACKED).tolist() for r in found.collect()} == wanted
+    df, n = V.packed_frequencies(found)
+    assert n == 60 and df.tolist() == V.frequencies(lists).tolist()

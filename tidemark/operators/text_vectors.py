@@ -36,7 +36,7 @@ from tidemark.plans.views import view
 QUERIES = {}
 PARTS, BUCKETS, DIMENSIONS, SEED = ("word", "char"), 1 << 13, 256, 3
 #: Texts that are projected at once.
-AT_ONCE = 64
+AT_ONCE = 256
 WORD = re.compile(r"\w+")
 
 
@@ -77,10 +77,9 @@ def spaced(words: list[str]) -> np.ndarray:
 def runs(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """3 to 5, and where runs of that length start that char_grams() has: those with blanks at their ends alone."""
     inside = points != 32
+    fits = np.ones(len(points), bool)
     for n in (3, 4, 5):
-        fits = np.ones(max(0, len(points) - n + 1), bool)
-        for i in range(1, n - 1):
-            fits &= inside[i : i + len(fits)]
+        fits = fits[: max(0, len(points) - n + 1)] & inside[n - 2 : max(n - 2, len(points) - 1)]
         yield n, np.flatnonzero(fits)
 
 
@@ -89,29 +88,31 @@ _TABLE = np.array([~zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFFFFFF for i in range(256)
 
 
 def _run_crcs(points: np.ndarray) -> np.ndarray:
-    """crc32 of the UTF-8 of each of runs(), all runs a byte at a time."""
-    two, three, four = points >= 0x80, points >= 0x800, points >= 0x10000
-    tail = lambda shift: 0x80 | (points >> shift & 0x3F)
-    lead = np.select([four, three, two], [0xF0 | points >> 18, 0xE0 | points >> 12, 0xC0 | points >> 6], points)
-    steps = [(lead, None), (tail(12), four), (tail(6), three), (tail(0), two)] if two.any() else [(points, None)]
-    out = []
-    for n, starts in runs(points):
-        crc = np.full(len(starts), 0xFFFFFFFF, np.uint32)
-        for i in range(n):
-            for byte, there in steps:
-                own = _TABLE[(crc ^ byte[starts + i]) & 0xFF] ^ (crc >> 8)
-                crc = own if there is None else np.where(there[starts + i], own, crc)
-        out.append(~crc)
+    """crc32 of the UTF-8 of each of runs(): from every place a character further at a time, so that longer runs go on from shorter ones."""
+    wide = np.flatnonzero(points >= 0x80)
+    lead = points.copy()
+    lead[wide] = np.select([(p := points[wide]) >= 0x10000, p >= 0x800], [0xF0 | p >> 18, 0xE0 | p >> 12], 0xC0 | p >> 6)
+    tails = [(at := wide[points[wide] >= least], 0x80 | points[at] >> shift & 0x3F) for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80))] if len(wide) else []
+    crc, starts, out = np.full(len(points), 0xFFFFFFFF, np.uint32), dict(runs(points)), []
+    for i in range(5):
+        crc = crc[: max(0, len(points) - i)]
+        crc = _TABLE[(crc ^ lead[i:]) & 0xFF] ^ (crc >> 8)
+        for at, byte in tails:
+            there = at >= i
+            own = at[there] - i
+            crc[own] = _TABLE[(crc[own] ^ byte[there]) & 0xFF] ^ (crc[own] >> 8)
+        if i >= 2:
+            out.append(~crc[starts[i + 1]])
     return np.concatenate(out)
 
 
 def bucket_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets in ascending order, and how often each occurs: those of all terms()."""
     lowered = (text or "").lower()
-    words = WORD.findall(lowered)
-    crcs = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
-    crcs += [zlib.crc32(f" {b}".encode("utf-8", "replace"), a) for a, b in zip(crcs, words[1:])]
-    counts = np.bincount(np.concatenate([np.array(crcs, np.int64) % BUCKETS, _run_crcs(spaced(lowered.split())).astype(np.int64) % BUCKETS + BUCKETS]), minlength=len(PARTS) * BUCKETS)
+    words = " ".join(WORD.findall(lowered)).encode("utf-8", "replace").split()
+    crcs = list(map(zlib.crc32, words))
+    crcs += map(zlib.crc32, [b" " + b for b in words[1:]], crcs[:-1])
+    counts = np.bincount(np.concatenate([np.array(crcs, np.int64) % BUCKETS, (_run_crcs(spaced(lowered.split())) % BUCKETS).astype(np.int64) + BUCKETS]), minlength=len(PARTS) * BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), counts[at].astype(np.int32)
 
@@ -193,26 +194,66 @@ def _signs(dimensions: int) -> np.ndarray:
     return (np.random.default_rng(SEED).integers(0, 2, (len(PARTS) * BUCKETS, dimensions), dtype=np.int8) * 2 - 1).astype(float)
 
 
+_PACKED = np.dtype([("at", "<i2"), ("n", "<i4")])
+
+
+def packed(rows: DataFrame, text_col: str = "content") -> DataFrame:
+    """rows with `counts`, the bytes of what counted() gives as lists: thousands of numbers a row are written and read in one piece."""
+
+    @F.arrow_udf("binary")
+    def count(texts: pa.Array) -> pa.Array:
+        def one(text: str | None) -> bytes:
+            at, n = bucket_counts(text)
+            both = np.empty(len(at), _PACKED)
+            both["at"], both["n"] = at, n
+            return both.tobytes()
+
+        return pa.array([one(t.as_py()) for t in texts], pa.binary())
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)  # a table of few splits
+    return materialize(dealt.withColumn("counts", count(text_col)).drop(text_col), "buckets", WIDE)
+
+
+def packed_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """How many rows of packed() have each bucket, and how many rows there are."""
+    size = len(PARTS) * BUCKETS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 1, np.int64)  # the last: rows
+        for batch in batches:
+            n[:-1] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), _PACKED)["at"], minlength=size)
+            n[-1] += len(batch)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+
+    found = np.zeros(size + 1)
+    with settings(rows.sparkSession, WIDE):
+        for r in rows.select("counts").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+            found[r.at] = r.n
+    return found[:-1], int(found[-1])
+
+
 def embed(rows: DataFrame, text_col: str = "content", dimensions: int = DIMENSIONS) -> DataFrame:
     """rows with `embedding` (of length 1) instead of the text."""
-    buckets = counted(rows, text_col)
-    idf = rows.sparkSession.sparkContext.broadcast(weights(buckets))
+    buckets = packed(rows, text_col)
+    idf = rows.sparkSession.sparkContext.broadcast(idf_of(*packed_frequencies(buckets)))
 
     @F.arrow_udf("array<float>")
-    def project(at: pa.Array, n: pa.Array) -> pa.Array:
-        out = np.zeros((len(at), dimensions), np.float32)
-        for lo in range(0, len(at), AT_ONCE):
-            both = zip(parts_of(at.slice(lo, AT_ONCE), np.int64), parts_of(n.slice(lo, AT_ONCE), float), strict=True)
-            wide = np.zeros((len(out[lo : lo + AT_ONCE]), len(idf.value)))
-            for row, (a, c) in zip(wide, both, strict=True):
-                a, x = weigh(a, c, idf.value)
+    def project(counts: pa.Array) -> pa.Array:
+        out = np.zeros((len(counts), dimensions), np.float32)
+        for lo in range(0, len(counts), AT_ONCE):
+            some = [np.frombuffer(c.as_py(), _PACKED) for c in counts[lo : lo + AT_ONCE]]
+            wide = np.zeros((len(some), len(idf.value)))
+            for row, own in zip(wide, some, strict=True):
+                a, x = weigh(own["at"].astype(np.int64), own["n"].astype(float), idf.value)
                 row[a] = np.round(x * 2.0**40) / 2.0**40  # sums are exact in any order, so copies of a text have one vector
             v = wide @ _signs(dimensions)
             length = np.sqrt((v * v).sum(axis=1, keepdims=True))
             out[lo : lo + AT_ONCE] = v / np.where(length > 0, length, 1)
         return _lists(list(out), pa.float32())
 
-    return materialize(buckets.withColumn("embedding", project("at", "n")).drop("at", "n"), "embedded", WIDE)  # written so that tasks get a little at a time
+    return materialize(buckets.withColumn("embedding", project("counts")).drop("counts"), "embedded", WIDE)  # written so that tasks get a little at a time
 
 
 @query
